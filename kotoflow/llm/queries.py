@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kotoflow.llm import decontaminate, language_id, near_dup, packing, token_store
+from kotoflow.llm import decontaminate, language_id, near_dup, packing, token_store, topk_search
 from kotoflow.llm.common import table
 
 
@@ -18,6 +19,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best integer inner products of every 50th vector among all others."""
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id shards with Elias-Fano borders, written and read back."""
     return token_store.token_store(table(spark, sf_dir, "documents"))
@@ -41,6 +47,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_top_k": op2_top_k,
     "op6_token_ids": op6_token_ids,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_decontamination": op8_decontamination,
@@ -93,4 +100,15 @@ SELECT d.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, c.component_id,
 FROM doc d JOIN component c USING (doc_id) LEFT JOIN size z USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_decontamination": _OP8_SQL, "op10_near_duplicates": _OP10_SQL}
+_OP2_SQL = r"""
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND NOT list_contains([coalesce(isfinite(x), false) FOR x IN embedding], false)),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([a[1] * a[2] FOR a IN list_zip(q.e, c.e)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_top_k": _OP2_SQL, "op8_decontamination": _OP8_SQL, "op10_near_duplicates": _OP10_SQL}
