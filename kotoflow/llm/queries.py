@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kotoflow.llm import decontaminate, language_id, near_dup, packing, token_store, topk_search
+from kotoflow.llm import decontaminate, language_id, near_dup, packing, secret_scan, token_store, topk_search
 from kotoflow.llm.common import table
 
 
@@ -40,6 +40,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credential candidates of every whole text, scored; values as digests."""
+    found = secret_scan.findings(table(spark, sf_dir, "documents"), F.col("source"))
+    return found.select("doc_id", "start", "n_chars", "kind", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.85 or more."""
     return near_dup.components(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_ids": op6_token_ids,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_decontamination": op8_decontamination,
+    "op9_secret_scan": op9_secret_scan,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
