@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kotoflow.llm import decontaminate, language_id, near_dup, packing, secret_scan, token_store, topk_search
+from kotoflow.llm import decontaminate, language_id, licences, lm_scoring, near_dup, packing, secret_scan, token_store, topk_search
 from kotoflow.llm.common import table
 
 
@@ -24,6 +24,29 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document: its own notice, or that of the nearest licence file above its path.
+
+    ``documents`` has no paths: a document counts as file ``<doc_id>.txt`` of folder ``<source>``.
+    """
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licences.scan(docs, path).select("doc_id", "path", "licence", "score", "coverage", "found_by", "licence_dir")
+
+
+#: Target ids that may be broadcast to the counting scan.
+TARGET_BROADCAST = 4_000_000
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document: documents labelled good against all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
+    side = F.broadcast(good) if good.count() <= TARGET_BROADCAST else good
+    marked = docs.join(side, docs["doc_id"] == F.col("good_id"), "left")
+    return lm_scoring.score(marked, F.col("good_id").isNotNull())
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id shards with Elias-Fano borders, written and read back."""
     return token_store.token_store(table(spark, sf_dir, "documents"))
@@ -54,6 +77,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_top_k": op2_top_k,
+    "op4_licences": op4_licences,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_token_ids": op6_token_ids,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_decontamination": op8_decontamination,
