@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kotoflow.llm import decontaminate, language_id, licences, lm_scoring, near_dup, packing, secret_scan, token_store, topk_search
+from kotoflow.llm import decontaminate, html_extract, language_id, licences, lm_scoring, near_dup, packing, secret_scan, token_store, topk_search
 from kotoflow.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence of every document: its own notice, or that of the nearest licence file above its path.
 
@@ -77,6 +82,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_top_k": op2_top_k,
+    "op3_html_text": op3_html_text,
     "op4_licences": op4_licences,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_token_ids": op6_token_ids,
