@@ -161,6 +161,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return hits.drop("row").withColumns({"n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256), "contaminated": F.col("n_hit") > 0})
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
+    """The rows of ``docs`` without any window of the benchmark; columns as they were.
+
+    A filter inside the scan, pass by pass: no join, so repeated and null ids are safe.
+    """
+    at = docs.columns.index(text_col)
+
+    def hit(automata_of: list[WuManber], text: str | None) -> bool:
+        w = words(text)
+        return any(next(a.search(w), None) is not None for a in automata_of)
+
+    for block in passes(benchmark, item_col, item_text_col, pass_words):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def keep(batches, shared=shared):
+            built = automata(shared.value, window)
+            for batch in batches:
+                yield batch.filter(pa.array([not hit(built, t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def brute_force(text: str | None, items: list[tuple[object, str | None]], window: int = WINDOW) -> tuple[int, int, int, str]:
     """(n_words, n_hit, n_items, items_sha256) by trying every window at every place; for tests."""
     w, hit, found = words(text), set(), set()

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kotoflow.llm.common import LOWER_AZ, write_table
@@ -372,3 +372,23 @@ def components(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id
     same = (F.col("p.k1") == F.col("c.k1")) & (F.col("p.k2") == F.col("c.k2")) & (F.col("p.n") == F.col("c.n"))
     out = p.join(c, same, "left").select(F.col("p.doc_id").alias("doc_id"), F.col("p.n").alias("n_shingles"), F.when(F.col("p.doc_id").isNotNull(), F.coalesce("c.comp", "p.doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each group does; columns as they were.
+
+    Rows that share an id are one document, so one of them stays, the first by
+    text; rows without an id all stay.
+    """
+    classes, _ = write_table(components(docs, shingle, num, den, id_col, text_col), "near-kept")
+    gone = classes.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    small = gone.count() <= BROADCAST_ROWS
+    left = docs.join(F.broadcast(gone) if small else gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    repeated = classes.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
+    if not repeated.head(1):
+        return left
+    twice = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
+    cond = left[id_col].cast("long") == F.col("__twice")
+    first = Window.partitionBy(id_col).orderBy(text_col)
+    once = left.join(twice, cond, "left_semi").withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+    return left.join(twice, cond, "left_anti").unionByName(once)

@@ -43,25 +43,30 @@ _BENIGN = r"(?i)(commit|sha-?[0-9]*|md5|checksum|digest|uuid|guid|revision|hash|
 _TELLING = r"(?i)(password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key[_a-z]*|auth|bearer|credential)[^A-Za-z0-9]{0,6}$"
 _TEST_PATH = r"(?i)(^|[/_.\-])(test|tests|spec|example|examples|docs|fixture|fixtures|mock|sample|samples)([/_.\-]|$)"
 
-#: (name, Spark SQL over value, before, after and path)
+#: (name, Spark SQL over @value, @before, @after, @path and @kind)
 FEATURES: list[tuple[str, str]] = [
-    ("n", "cast(length(value) as double)"),
-    ("transitions", "regexp_count(value, '[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+') / cast(length(value) as double)"),
-    ("bigrams", f"regexp_count(lower(value), '{_BIGRAMS}') / cast(length(value) as double)"),
-    ("dictionary", f"1 - length(regexp_replace(lower(value), '{_WORDS}', '')) / cast(length(value) as double)"),
-    ("digits", "regexp_count(value, '[0-9]') / cast(length(value) as double)"),
-    ("upper", "regexp_count(value, '[A-Z]') / cast(length(value) as double)"),
-    ("distinct", "size(array_distinct(split(value, ''))) / cast(length(value) as double)"),
-    ("hex", "cast(regexp_like(value, '^[0-9a-f]+$') as double)"),
-    ("only_digits", "cast(regexp_like(value, '^[0-9]+$') as double)"),
-    ("known", "cast(kind not in ('generic', 'assigned') as double)"),
-    ("telling", f"cast(regexp_like(before, r'{_TELLING}') as double)"),
-    ("benign", f"cast(regexp_like(before, r'{_BENIGN}') as double)"),
-    ("after_word", "cast(regexp_like(after, '^[\"'']') as double)".replace("''", "\\'")),
-    ("test_path", f"cast(regexp_like(path, r'{_TEST_PATH}') as double)"),
+    ("n", "cast(length(@value) as double)"),
+    ("transitions", "regexp_count(@value, '[a-z]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9]+') / cast(length(@value) as double)"),
+    ("bigrams", f"regexp_count(lower(@value), '{_BIGRAMS}') / cast(length(@value) as double)"),
+    ("dictionary", f"1 - length(regexp_replace(lower(@value), '{_WORDS}', '')) / cast(length(@value) as double)"),
+    ("digits", "regexp_count(@value, '[0-9]') / cast(length(@value) as double)"),
+    ("upper", "regexp_count(@value, '[A-Z]') / cast(length(@value) as double)"),
+    ("distinct", "size(array_distinct(split(@value, ''))) / cast(length(@value) as double)"),
+    ("hex", "cast(regexp_like(@value, '^[0-9a-f]+$') as double)"),
+    ("only_digits", "cast(regexp_like(@value, '^[0-9]+$') as double)"),
+    ("known", "cast(@kind not in ('generic', 'assigned') as double)"),
+    ("telling", f"cast(regexp_like(@before, r'{_TELLING}') as double)"),
+    ("benign", f"cast(regexp_like(@before, r'{_BENIGN}') as double)"),
+    ("quoted", """cast(substring(@after, 1, 1) in ("'", '"') as double)"""),
+    ("test_path", f"cast(regexp_like(@path, r'{_TEST_PATH}') as double)"),
 ]
 
 
+def _named(sql: str, of: str = "") -> str:
+    """SQL with its @names read from columns, or from the fields of ``of``."""
+    return re.sub("@([a-z]+)", (of + "." if of else "") + r"\1", sql)
+
+
 def kind_of(value: str, assigned: bool) -> str:
     for kind, shape in _KINDS:
         if re.search(shape, value):
@@ -194,7 +199,31 @@ def _tree_sql(node) -> str:
     if not isinstance(node, tuple):
         return f"{node}D"
     j, t, a, b = node
-    return f"if({FEATURES[j][0]} <= {t}D, {_tree_sql(a)}, {_tree_sql(b)})"
+    return f"if(@{FEATURES[j][0]} <= {t}D, {_tree_sql(a)}, {_tree_sql(b)})"
+
+
+def _score_sql() -> str:
+    trees = forest()
+    return f"round(({' + '.join(map(_tree_sql, trees))}) / {len(trees)}, 6)"
+
+
+_KIND_SQL = "case " + " ".join(f"when regexp_like(@value, r'{shape}') then '{name}'" for name, shape in _KINDS) + " when length(@named) > 0 then 'assigned' else 'generic' end"
+_KEPT_SQL = "length(@named) > 0 and length(@value) >= 6 or regexp_like(@value, '[0-9]') and length(@value) >= 16 or startswith(@value, '-----BEGIN')"
+
+
+def _with_candidates(docs: DataFrame, text: Column, path: Column) -> DataFrame:
+    """Rows with ``__c``: the text's candidates as structs (start, kind, value, before, after, path)."""
+    rows = docs.withColumns({"__text": text.cast("string"), "__path": F.coalesce(path.cast("string"), F.lit("")), "__assign": F.lit("^" + _ASSIGN)})
+    some = F.size("__m") > 0
+    rows = rows.withColumn("__m", F.regexp_extract_all("__text", F.lit(_PATTERN), F.lit(0))).withColumn("__between", F.when(some, F.split("__text", _PATTERN, -1)))
+    # where each match begins: lengths of all that stands before it
+    begun = "aggregate(sequence(0, size(__m) - 1), cast(array(length(__between[0])) as array<long>), (a, i) -> array_append(a, element_at(a, -1) + length(__m[i]) + length(__between[i + 1])))"
+    rows = rows.withColumn("__at", F.when(some, F.expr(begun)))
+    found = "transform(__m, (x, i) -> struct(x as m, regexp_extract(x, __assign, 0) as named, __at[i] as at, right(__between[i], 80) as before, left(__between[i + 1], 40) as after))"
+    found = f"transform({found}, x -> struct(x.m as m, x.named as named, x.at as at, x.before as before, x.after as after, rtrim('.,;:)]}}', substring(x.m, length(x.named) + 1)) as value))"
+    found = f"filter({found}, x -> {_named(_KEPT_SQL, 'x')})"
+    found = f"transform({found}, x -> struct(x.at + length(x.named) as start, {_named(_KIND_SQL, 'x')} as kind, x.value as value, concat(x.before, x.named) as before, concat(substring(x.m, length(x.named) + length(x.value) + 1), x.after) as after, __path as path))"
+    return rows.withColumn("__c", F.when(some, F.expr(found))).drop("__text", "__path", "__m", "__between", "__at", "__assign")
 
 
 def findings(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -205,39 +234,24 @@ def findings(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: st
     empty table gives no rows.  Whole texts are scanned, and other columns are
     ignored whatever their names.
     """
-    pattern = F.lit(_PATTERN)
-    text = F.col("text")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
-    rows = rows.withColumn("m", F.regexp_extract_all(text, pattern, F.lit(0))).where(F.size("m") > 0).withColumn("between", F.split(text, _PATTERN, -1))
-    # where each match begins: lengths of all that stands before it
-    begun = F.expr("aggregate(sequence(0, size(m) - 1), cast(array(length(between[0])) as array<long>), (a, i) -> array_append(a, element_at(a, -1) + length(m[i]) + length(between[i + 1])))")
-    rows = rows.withColumn("at", begun).select("doc_id", "path", F.expr("transform(m, (x, i) -> struct(x as m, at[i] as at, right(between[i], 80) as before, left(between[i + 1], 40) as after))").alias("c"))
-    rows = rows.select("doc_id", "path", F.explode("c").alias("c")).select("doc_id", "path", "c.*")
-    named = F.regexp_extract("m", "^" + _ASSIGN, 0)
-    rows = rows.withColumn("named", named).withColumn("value", F.expr("rtrim('.,;:)]}', substring(m, length(named) + 1))"))
-    rows = rows.where((F.length("named") > 0) & (F.length("value") >= 6) | F.col("value").rlike("[0-9]") & (F.length("value") >= 16) | F.col("value").rlike("^-----BEGIN"))
-    kind = F.when(F.lit(False), "")
-    for name, shape in _KINDS:
-        kind = kind.when(F.col("value").rlike(shape), name)
-    kind = kind.when(F.length("named") > 0, "assigned").otherwise("generic")
-    rows = rows.select("doc_id", (F.col("at") + F.length("named")).alias("start"), F.length("value").cast("long").alias("n_chars"), kind.alias("kind"), "value", F.concat("before", "named").alias("before"), F.concat(F.expr("substring(m, length(named) + length(value) + 1)"), "after").alias("after"), "path")
-    scored = rows.withColumns({name: F.expr(sql) for name, sql in FEATURES})
-    trees = forest()
-    total = " + ".join(_tree_sql(t) for t in trees)
-    score = F.round(F.expr(f"({total}) / {len(trees)}"), 6)
-    return scored.withColumn("score", score).withColumn("is_secret", F.col("score") >= threshold).drop(*(n for n, _ in FEATURES))
+    rows = _with_candidates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__t"), path.alias("__p")), F.col("__t"), F.col("__p"))
+    rows = rows.where(F.size("__c") > 0).select("doc_id", F.explode("__c").alias("c")).select("doc_id", "c.start", F.length("c.value").cast("long").alias("n_chars"), "c.kind", "c.value", "c.before", "c.after", "c.path")
+    scored = rows.withColumns({name: F.expr(_named(sql)) for name, sql in FEATURES}).withColumn("score", F.expr(_named(_score_sql())))
+    return scored.withColumn("is_secret", F.col("score") >= threshold).drop(*(n for n, _ in FEATURES))
 
 
-def redact(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", mark: str = "<SECRET>") -> DataFrame:
-    """The documents with every confirmed secret replaced by ``mark``; all rows and columns stay.
+def redact(docs: DataFrame, path: Column, text_col: str = "text", mark: str = "<SECRET>", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents with every confirmed secret replaced by ``mark``, wherever its
+    text has it; all rows and columns stay.
 
-    Only findings are gathered by id, never texts; values of repeated ids serve
-    every row of that id.
+    Row-local: no join and no shuffle, so repeated and null ids are safe.
     """
-    bad = findings(docs, path, id_col, text_col).where("is_secret").groupBy("doc_id").agg(F.array_sort(F.collect_set("value"), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)).alias("__secrets"))
-    joined = docs.join(bad.withColumnRenamed("doc_id", "__id"), F.col(id_col) == F.col("__id"), "left")
-    clean = F.aggregate(F.coalesce("__secrets", F.array().cast("array<string>")), F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))
-    return joined.withColumn(text_col, clean).select(*(f"`{c}`" for c in docs.columns))
+    features = ", ".join(f"{_named(sql, 'x')} as {name}" for name, sql in FEATURES)
+    values = f"transform(filter(transform(transform(__c, x -> struct(x.value as value, {features})), x -> struct(x.value as value, {_named(_score_sql(), 'x')} as score)), x -> x.score >= {threshold}D), x -> x.value)"
+    longest = f"array_sort(array_distinct({values}), (a, b) -> case when length(a) > length(b) then -1 when length(a) < length(b) then 1 when a < b then -1 when a > b then 1 else 0 end)"
+    rows = _with_candidates(docs, F.col(text_col), path)
+    clean = F.when(F.size("__c") > 0, F.aggregate(F.expr(longest), F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))).otherwise(F.col(text_col))
+    return rows.withColumn(text_col, clean).select(*(f"`{c}`" for c in docs.columns))
 
 
 def brute_force(text: str | None, path: str | None, threshold: float = THRESHOLD) -> list[tuple]:

@@ -40,6 +40,7 @@ def test_redact(spark):
     docs = frame(spark, TEXTS)
     got = {(r["doc_id"], r["text"]) for r in ss.redact(docs, F.col("source")).collect()}
     assert (1, "Then the inat <SECRET> to esntha") in got and (5, None) in got and (6, "") in got
+    assert not any('Python' in x for x in [ss.redact(docs, F.col('source'))._jdf.queryExecution().toString()])
     assert len(got) == len(TEXTS) and ss.redact(docs, F.col("source")).columns == docs.columns
     assert ss.findings(docs.limit(0), F.col("source")).count() == 0
 
