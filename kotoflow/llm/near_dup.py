@@ -9,9 +9,10 @@ connected components of those links.
 2. Each representative gets ``COORDINATES`` minwise tokens ``(i, min_i)``.  An
    independent tree starts from one coordinate: representatives that share its
    token share a node.  A node with more than ``LEAF`` members branches: each
-   member is sent on by ``BRANCHES`` further coordinates, chosen by the node,
+   member is sent on by its token of a further coordinate, chosen by the node,
    and so on down the path.  Nodes whose members already form one component are
-   closed.
+   closed, and a large node that is one component but for a few members is cut
+   into parts that each get all of those few: nothing is left uncompared.
 3. Small nodes are compared exhaustively on sketches (one byte per coordinate);
    sketch-similar members form a candidate cluster.  Clusters fetch the whole
    texts, and every pair of a cluster that is not connected yet is confirmed on
@@ -40,8 +41,7 @@ COORDINATES = 128
 TREES = 10
 #: Trees of the first batch; the others run on what it left open.
 FIRST_TREES = 3
-LEAF = 1024
-BRANCHES = 2
+LEAF = 512
 MAX_DEPTH = 8
 #: A sketch-similar pair agrees in as many coordinates as a pair at the threshold does, less so many deviations.
 DEVIATIONS = 4.0
@@ -167,9 +167,8 @@ def _branch(members: DataFrame, depth: int) -> DataFrame:
                 continue
             path = batch.column(0).to_numpy().view(np.uint64)
             sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint32).reshape(n, COORDINATES)
-            for j in range(BRANCHES):
-                i = (mix(path ^ mix(np.full(n, depth * BRANCHES + j + 1, dtype=np.uint64) * _M1)) % np.uint64(COORDINATES)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(_node(path, i, sig[np.arange(n), i]).view(np.int64)), batch.column(1)], names=["node", "rep"])
+            i = (mix(path ^ mix(np.full(n, depth + 1, dtype=np.uint64) * _M1)) % np.uint64(COORDINATES)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(_node(path, i, sig[np.arange(n), i]).view(np.int64)), batch.column(1)], names=["node", "rep"])
 
     return members.select("node", "rep", "sig").mapInArrow(rows, "node long, rep long")
 
@@ -191,8 +190,18 @@ def _leaves(reps: DataFrame, comps: DataFrame | None, trees: range) -> DataFrame
         large = members.where(F.col("n") > LEAF)
         if not large.head(1):
             break
+        if comps is not None:
+            most = large.groupBy("node", "comp").count().groupBy("node").agg(F.max_by("comp", F.struct("count", -F.col("comp"))).alias("main"), F.max("count").alias("m"))
+            most, _ = write_table(most, "near-nodes")
+            large = large.join(most, "node")
+            few = F.col("n") - F.col("m") <= LEAF // 2
+            # one component and a few others: every part of the component meets all the others
+            parts = F.ceil(F.col("m") / (LEAF // 2)).cast("int")
+            part = F.when(F.col("comp") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
+            leaves.append(large.where(few).select("node", "rep", "comp", F.explode(part).alias("part")).select(F.xxhash64("node", "part").alias("node"), "rep", "comp"))
+            large = large.where(~few)
         if depth == MAX_DEPTH:
-            # very similar members that no token tells apart: leaf-sized parts, different ones in each tree
+            # similar members that no token tells apart: leaf-sized parts, different ones in each tree
             part = F.pmod(F.xxhash64("rep", "node"), F.ceil(F.col("n") / (LEAF // 2)))
             leaves.append(large.select(F.xxhash64("node", part).alias("node"), "rep", "comp"))
             break
