@@ -24,10 +24,11 @@ FINDINGS = 4000
 THRESHOLD = 0.5
 
 # Published shapes of credentials.  All regular expressions here
-# read alike in Java, RE2 and Python.
+# read alike in Java and Python.
 _NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
-_ASSIGN = _NAME + r"""[ \t]*[=:][ \t]*["']?"""
-_PATTERN = r"-----BEGIN [A-Z ]*PRIVATE KEY-----|" + _ASSIGN + r"""[^ \t\r\n"']{6,}|[A-Za-z0-9_+/\-]{16,}"""
+_ASSIGN = r"[A-Za-z0-9_\-]*?(?=[pPsStTaA])" + _NAME + r"""[ \t]*[=:][ \t]*["']?"""
+# Every alternative starts at the border of a word, so a position inside a word costs one look back.
+_PATTERN = r"-----BEGIN [A-Z ]*PRIVATE KEY-----|(?<![A-Za-z0-9_\-])" + _ASSIGN + r"""[^ \t\r\n"']{6,}+|(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{16,}+"""
 _KINDS = [
     ("private_key", r"^-----BEGIN"),
     ("aws_access_key", r"^(AKIA|ASIA)[0-9A-Z]{16}$"),
@@ -214,16 +215,18 @@ _KEPT_SQL = "length(@named) > 0 and length(@value) >= 6 or regexp_like(@value, '
 def _with_candidates(docs: DataFrame, text: Column, path: Column) -> DataFrame:
     """Rows with ``__c``: the text's candidates as structs (start, kind, value, before, after, path)."""
     rows = docs.withColumns({"__text": text.cast("string"), "__path": F.coalesce(path.cast("string"), F.lit("")), "__assign": F.lit("^" + _ASSIGN)})
+    # explode of a one-element array: what follows reads the matches, it does not search again
+    rows = rows.withColumn("__m", F.explode(F.array(F.regexp_extract_all("__text", F.lit(_PATTERN), F.lit(0)))))
     some = F.size("__m") > 0
-    rows = rows.withColumn("__m", F.regexp_extract_all("__text", F.lit(_PATTERN), F.lit(0))).withColumn("__between", F.when(some, F.split("__text", _PATTERN, -1)))
+    rows = rows.withColumn("__between", F.explode(F.array(F.when(some, F.split("__text", _PATTERN, -1)))))
     # where each match begins: lengths of all that stands before it
     begun = "aggregate(sequence(0, size(__m) - 1), cast(array(length(__between[0])) as array<long>), (a, i) -> array_append(a, element_at(a, -1) + length(__m[i]) + length(__between[i + 1])))"
-    rows = rows.withColumn("__at", F.when(some, F.expr(begun)))
+    rows = rows.withColumn("__at", F.explode(F.array(F.when(some, F.expr(begun)))))
     found = "transform(__m, (x, i) -> struct(x as m, regexp_extract(x, __assign, 0) as named, __at[i] as at, right(__between[i], 80) as before, left(__between[i + 1], 40) as after))"
     found = f"transform({found}, x -> struct(x.m as m, x.named as named, x.at as at, x.before as before, x.after as after, rtrim('.,;:)]}}', substring(x.m, length(x.named) + 1)) as value))"
     found = f"filter({found}, x -> {_named(_KEPT_SQL, 'x')})"
     found = f"transform({found}, x -> struct(x.at + length(x.named) as start, {_named(_KIND_SQL, 'x')} as kind, x.value as value, concat(x.before, x.named) as before, concat(substring(x.m, length(x.named) + length(x.value) + 1), x.after) as after, __path as path))"
-    return rows.withColumn("__c", F.when(some, F.expr(found))).drop("__text", "__path", "__m", "__between", "__at", "__assign")
+    return rows.withColumn("__c", F.explode(F.array(F.when(some, F.expr(found))))).drop("__text", "__path", "__m", "__between", "__at", "__assign")
 
 
 def findings(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
