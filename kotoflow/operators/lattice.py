@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from kotoflow.sources.lexicon import CATEGORIES, UNKNOWN, Lexicon, category
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class Morph:
     surface: str
     feature: str
@@ -31,10 +31,13 @@ def _run(kinds: list[str], at: int) -> int:
 
 def candidates(text: str, at: int, kinds: list[str], lexicon: Lexicon) -> list[Morph]:
     """Words that may start here: those of the lexicon, and unknown ones as the category says."""
-    out = []
+    out: list[Morph] = []
     for end in range(at + 1, min(len(text), at + lexicon.longest) + 1):
-        for left, right, cost, feature in lexicon.words.get(text[at:end], ()):
-            out.append(Morph(text[at:end], feature, left, right, cost))
+        piece = text[at:end]
+        if piece in lexicon.words:
+            out += [Morph(piece, feature, left, right, cost) for left, right, cost, feature in lexicon.words[piece]]
+        elif piece not in lexicon.prefixes:
+            break
     kind = kinds[at]
     invoke, group, length = CATEGORIES[kind]
     if invoke or not out:
@@ -46,10 +49,33 @@ def candidates(text: str, at: int, kinds: list[str], lexicon: Lexicon) -> list[M
     return out
 
 
+def _segment_without_connections(text: str, kinds: list[str], lexicon: Lexicon) -> list[Morph]:
+    """One state per place is enough when words do not see each other."""
+    n = len(text)
+    cost: list[int | None] = [0] + [None] * n
+    back: list[Morph | None] = [None] * (n + 1)
+    for at in range(n):
+        here = cost[at]
+        if here is None:
+            continue
+        for word in candidates(text, at, kinds, lexicon):
+            end, total = at + len(word.surface), here + word.cost
+            held = cost[end]
+            if held is None or total < held:
+                cost[end], back[end] = total, word
+    out: list[Morph] = []
+    while n:
+        out.append(back[n])
+        n -= len(back[n].surface)
+    return out[::-1]
+
+
 def segment(text: str, lexicon: Lexicon) -> list[Morph]:
     """The cheapest path; ties go to the word found first."""
     kinds = [category(c) for c in text]
     n = len(text)
+    if lexicon.matrix is None:
+        return _segment_without_connections(text, kinds, lexicon)
     # at each place: best (cost, word, state before) per right id of the word that ends there
     best: list[dict[int, tuple[int, Morph | None, int, int]]] = [{} for _ in range(n + 1)]
     best[0][0] = (0, None, -1, 0)

@@ -297,3 +297,52 @@ f AS (SELECT *, array_to_string(CASE WHEN w = '' THEN [''] ELSE regexp_extract_a
 SELECT doc_id, md5(string_agg(CASE WHEN length(w) > 12 THEN '[UNK]' WHEN w = '' THEN '[IGN]' ELSE '[OK] ' END || ' ' || w || chr(9) || p, chr(10) ORDER BY k)) AS mapping_md5,
   md5(string_agg(w || chr(9) || p, chr(10) ORDER BY k)) AS pairs_md5, md5(string_agg('[' || q || ']', ' ' ORDER BY k)) AS per_word_md5 FROM f GROUP BY doc_id""",
 }
+
+
+# --- whole analysis: no SQL form, rows-only check; golden tests in tests/test_g2p.py ---
+
+
+def _analyzed(spark, d):
+    """Documents with letters as hiragana, split into sentences inside the analysis."""
+    return docs(spark, d).select("doc_id", _hira("text").alias("text"))
+
+
+def _g2p():
+    from kotoflow.plans.g2p import G2P
+    from kotoflow.plans.options import Options
+
+    return G2P(Options(split_sentences=True))
+
+
+def g2p(spark, d):
+    t = _analyzed(spark, d).select("doc_id", _g2p().phonemes("text").alias("p"))
+    return t.select("doc_id", F.size("p").alias("phonemes"), F.md5(F.array_join("p", " ").cast("binary")).alias("md5"))
+
+
+def g2p_mapping(spark, d):
+    t = _analyzed(spark, d).select("doc_id", _g2p().mapping("text").alias("m"))
+    return t.select("doc_id", F.size("m").alias("words"), F.size(F.filter("m", lambda x: x["is_unknown"])).alias("unknown"), F.size(F.filter("m", lambda x: x["is_ignored"])).alias("ignored"))
+
+
+def g2p_mapping_detailed(spark, d):
+    t = _analyzed(spark, d).select("doc_id", F.explode(_g2p().mapping_detailed("text")).alias("m"))
+    return t.groupBy("m.pos", "m.pos_group1").agg(F.count("*").alias("words"), F.sum("m.mora_count").alias("morae"))
+
+
+def g2p_kana(spark, d):
+    t = _analyzed(spark, d).select("doc_id", _g2p().kana("text").alias("k"))
+    return t.select("doc_id", F.length("k").alias("chars"), F.md5(F.col("k").cast("binary")).alias("md5"))
+
+
+def fullcontext(spark, d):
+    t = _analyzed(spark, d).select("doc_id", _g2p().fullcontext("text").alias("l"))
+    return t.select("doc_id", F.size("l").alias("labels"), F.md5(F.array_join("l", "\n").cast("binary")).alias("md5"))
+
+
+def odoriji(spark, d):
+    """Iteration marks resolved: sentences without them against the analysis."""
+    t = _analyzed(spark, d).select("doc_id", F.explode(_g2p().njd("text")).alias("t"))
+    return t.where(kana.has_odoriji(F.col("t.string"))).groupBy("t.string", "t.pos").agg(F.count("*").alias("n"), F.sum("t.mora_size").alias("morae"))
+
+
+QUERIES |= {f.__name__: f for f in (g2p, g2p_mapping, g2p_mapping_detailed, g2p_kana, fullcontext, odoriji)}

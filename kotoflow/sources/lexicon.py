@@ -48,12 +48,15 @@ class Lexicon:
 
     words: dict[str, list[tuple[int, int, int, str]]] = field(default_factory=dict)
     longest: int = 0
+    #: proper beginnings of surfaces: a search stops where no word goes on
+    prefixes: set[str] = field(default_factory=set)
     matrix: np.ndarray | None = None
 
     def add(self, row: list[str], default_cost: int = 5000) -> None:
         surface, left, right, cost = row[0], int(row[1] or 0), int(row[2] or 0), int(row[3] or default_cost)
         self.words.setdefault(surface, []).append((left, right, cost, ",".join(row[4:])))
         self.longest = max(self.longest, len(surface))
+        self.prefixes.update(surface[:k] for k in range(1, len(surface)))
 
     def connection(self, right: int, left: int) -> int:
         m = self.matrix

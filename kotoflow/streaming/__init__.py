@@ -1,0 +1 @@
+"""The same column functions over streams."""
