@@ -347,9 +347,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     labels, _ = write_table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")).select(F.col("a").alias("v"), "l"), "labels")
     while True:
         heard = both.join(labels, both["a"] == labels["v"]).groupBy("b").agg(F.min("l").alias("h"))
-        heard, _ = write_table(heard, "labels")
-        told = labels.join(heard, labels["v"] == heard["b"], "left").select("v", "l", F.least("l", "h").alias("m"))
-        told, _ = write_table(told, "labels")
+        told, _ = write_table(labels.join(heard, labels["v"] == heard["b"], "left").select("v", "l", F.least("l", "h").alias("m")), "labels")
         up = told.select(F.col("v").alias("p"), F.col("m").alias("pm"))
         jumped, _ = write_table(told.join(up, told["m"] == up["p"]).select("v", F.least("m", "pm").alias("l"), F.col("l").alias("was")), "labels")
         labels = jumped.select("v", "l")
@@ -374,7 +372,8 @@ def components(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id
         clusters, _ = write_table(_clusters(_leaves(reps, comps, trees), reps, num, den), "near-clusters")
         found, _ = write_table(_confirm(clusters, docs, id_col, text_col, shingle, num, den), "near-edges")
         edges = found if edges is None else edges.unionAll(found)
-        comps, _ = write_table(connected_components(edges), "near-components")
+        if comps is None or found.head(1):
+            comps = connected_components(edges)
     classes, _ = write_table(reps.join(comps, "rep", "left").select("k1", "k2", "n", F.coalesce("comp", "rep").alias("comp")), "near-classes")
     p = prints.select("doc_id", "n", "k1", "k2").alias("p")
     c = classes.alias("c")
