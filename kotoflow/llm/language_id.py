@@ -199,3 +199,16 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=schema.names)
 
     return docs.select(*(f"`{c}`" for c in keep)).mapInArrow(rows, schema)
+
+
+def keep_known(docs: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
+    """The rows whose language is known with at least ``min_score``; columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def rows(batches):
+        for batch in batches:
+            got = [shared.value.predict(features(t.as_py())) for t in batch.column(at)]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in got], pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
