@@ -15,12 +15,13 @@ from kotoflow.llm.common import table, write_table
 
 #: Documents whose language is less certain than this go (with those that have no letters).
 MIN_LANGUAGE_SCORE = 0.2
+#: Stands where a secret was.
+MARK = "<SECRET>"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; no letters or no confidence: rejected."""
-    found = language_id.identify(docs, language_id.fit(docs))
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    return language_id.keep_known(docs, language_id.fit(docs), MIN_LANGUAGE_SCORE)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,9 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, confirmed secrets replaced."""
-    return secret_scan.redact(docs, F.col("source")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    clean = secret_scan.redact(docs, F.col("source"), mark=MARK)
+    n_chars = F.when(F.contains("text", F.lit(MARK)), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
