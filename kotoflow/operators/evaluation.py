@@ -123,3 +123,9 @@ def token_diff(expected: pd.Series, actual: pd.Series) -> pd.Series:
                 yield from (f"[+{x}]" for x in a[j1:j2])
 
     return pd.Series([" ".join(one(e, a)) for e, a in zip(expected, actual, strict=True)])
+
+
+def write_report(totals: DataFrame, errors: DataFrame, path: str) -> None:
+    """Summary and failing sentences as two JSON tables; a reader joins them, no task holds all."""
+    totals.write.mode("overwrite").json(f"{path}/summary")
+    errors.write.mode("overwrite").json(f"{path}/errors")

@@ -27,13 +27,6 @@ def filler_accent(tokens: list[Token]) -> None:
             t.chain_flag = 0
 
 
-def rule_is_nan(nxt: Token | None) -> bool:
-    """Stand-in for the classifier of 何's reading: ナン before d, t and n sounds of particles and copulas, else ナニ."""
-    if nxt is None:
-        return False
-    return nxt.pron.startswith(("デ", "ダ", "ト", "ノ", "ナ")) and nxt.pos in ("助詞", "助動詞", "記号") or nxt.pos_group2 == "助数詞"
-
-
 def nani_reading(tokens: list[Token], is_nan: Callable[[Token | None], bool]) -> None:
     for i, t in enumerate(tokens):
         if t.orig == "何":

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -19,8 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 from kotoflow.functions import kana
-from kotoflow.operators import alignment, labels, njd, postprocess
-from kotoflow.operators import lattice
+from kotoflow.operators import alignment, labels, lattice, nani, njd, postprocess
 from kotoflow.operators.njd import Token
 from kotoflow.operators.token_rules import kana as kana_of
 from kotoflow.operators.token_rules import kana_words
@@ -54,7 +54,8 @@ class AnalysisError(ValueError):
 class Engine:
     """Analysis of single texts; immutable, one per worker, options and lexicon version."""
 
-    def __init__(self, options: Options, paths: tuple[str, ...], key: str, second: tuple[str, ...] | None):
+    def __init__(self, options: Options, paths: tuple[str, ...], key: str, second: tuple[str, ...] | None, nani_model: tuple[str, str] | None = None):
+        self.is_nan = nani.model(nani_model)
         self.options, self.lexicon = options, lex.load(paths, key)
         self.second = lex.load(second, key) if second else None
 
@@ -89,7 +90,7 @@ class Engine:
         if o.filler_accent:
             postprocess.filler_accent(t)
         if o.predict_nani:
-            postprocess.nani_reading(t, postprocess.rule_is_nan)
+            postprocess.nani_reading(t, self.is_nan)
         if o.second_readings and self.second is not None:
             postprocess.second_readings(t, self._second("".join(m.surface for m in morphs)))
         if o.retreat_accent:
@@ -154,22 +155,23 @@ def _row(schema: StructType, t: Token) -> dict:
 
 
 @lru_cache(maxsize=8)
-def engine(options: Options, paths: tuple[str, ...], key: str, second: tuple[str, ...] | None) -> Engine:
-    return Engine(options, paths, key, second)
+def engine(options: Options, paths: tuple[str, ...], key: str, second: tuple[str, ...] | None, nani_model: tuple[str, str] | None = None) -> Engine:
+    return Engine(options, paths, key, second, nani_model)
 
 
 class G2P:
     """Column functions for one set of options and lexicons (a user lexicon is one more path)."""
 
-    def __init__(self, options: Options = Options(), lexicons: tuple[str, ...] = (lex.DEFAULT_LEXICON,), second: tuple[str, ...] | None = None):  # noqa: B008
-        self.options, self.lexicons, self.second = options, tuple(lexicons), second
+    def __init__(self, options: Options = Options(), lexicons: tuple[str, ...] = (lex.DEFAULT_LEXICON,), second: tuple[str, ...] | None = None, nani_model: tuple[str, str] | None = None):  # noqa: B008
+        self.options, self.lexicons, self.second, self.nani_model = options, tuple(lexicons), second, nani_model
         self.key = lex.version(self.lexicons + tuple(second or ()))
 
     def _apply(self, c: Column | str, method: str, kind) -> Column:
-        options, paths, key, second = self.options, self.lexicons, self.key, self.second
+        args = (self.options, self.lexicons, self.key, self.second, self.nani_model)
+        options = self.options
 
         def run(batches):
-            e = engine(options, paths, key, second)
+            e = engine(*args)
             seen: dict[str, object] = {}
             for s in batches:
                 out = []
@@ -189,8 +191,6 @@ class G2P:
                     out.append(seen[text])
                 yield pd.Series(out, dtype=object)
 
-        from collections.abc import Iterator
-
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return F.pandas_udf(run, kind)(F.col(c) if isinstance(c, str) else c)
 
@@ -232,10 +232,10 @@ class G2P:
     def register(self, spark, prefix: str = "g2p") -> None:
         """SQL names: g2p, g2p_mapping, g2p_mapping_detailed, g2p_pairs, g2p_njd, g2p_fullcontext."""
         for name, method, kind in (("", "phonemes", ArrayType(_S)), ("_mapping", "mapping", ArrayType(MAP)), ("_mapping_detailed", "mapping_detailed", ArrayType(DETAIL)), ("_pairs", "pairs", ArrayType(PAIR)), ("_njd", "njd", ArrayType(TOKEN)), ("_fullcontext", "fullcontext", ArrayType(_S))):
-            options, paths, key, second = self.options, self.lexicons, self.key, self.second
+            args, options = (self.options, self.lexicons, self.key, self.second, self.nani_model), self.options
 
-            def one(s: pd.Series, method=method) -> pd.Series:
-                e = engine(options, paths, key, second)
+            def one(s: pd.Series, method=method, args=args, options=options) -> pd.Series:
+                e = engine(*args)
 
                 def result(text):
                     try:

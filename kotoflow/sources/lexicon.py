@@ -119,3 +119,19 @@ def compile_lexicon(spark: SparkSession, to: str, *paths: str) -> DataFrame:
     """Dictionary build: CSV rows to a Parquet lexicon sorted by surface."""
     read_lexicon(spark, *paths).repartitionByRange("surface").sortWithinPartitions("surface", "cost").write.mode("overwrite").parquet(to)
     return spark.read.parquet(to)
+
+
+def category_table(spark: SparkSession) -> DataFrame:
+    """Code-point ranges with their category; the first range that holds a character counts."""
+    return spark.createDataFrame([(i, lo, hi, k) for i, (lo, hi, k) in enumerate(_RANGES)], "priority int, lo int, hi int, category string")
+
+
+def unknown_table(spark: SparkSession) -> DataFrame:
+    """How unknown words are made and taken, by category."""
+    rows = [(k, *CATEGORIES[k], cost, feature) for k, (cost, feature) in UNKNOWN.items()]
+    return spark.createDataFrame(rows, "category string, invoke boolean, grouped boolean, length int, cost int, feature string")
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """SHA-256 of every file under a path, computed where the files are."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).selectExpr("path", "length", "sha2(content, 256) AS sha256")
