@@ -150,8 +150,8 @@ class Model:
 
 
 def held_out(id_col: str) -> Column:
-    """True where crc32 of the id's text leaves 1 modulo 3."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+    """True where crc32 of the id's text leaves 1 modulo 3; false for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     give a model that answers ``und``.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out("id"), F.lit(False)))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Model()

@@ -162,3 +162,32 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
         F.when(~mine, F.col("near.ancestor")).alias("licence_dir"),
     )
 
+
+
+def oracle_sql(threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> str:
+    """The query over ``documents`` in DuckDB's SQL: every line against every template, no gate."""
+    m = matcher(threshold)
+    weights = ", ".join(f"({k}, '{t}', CAST({w!r} AS DOUBLE))" for t, rows in sorted(m.postings.items()) for k, w in rows)
+    idf = ", ".join(f"('{t}', CAST({v!r} AS DOUBLE))" for t, v in sorted(m.idf.items()))
+    names = ", ".join(f"({k}, '{n}')" for k, n in enumerate(m.names))
+    return rf"""
+WITH weight AS (SELECT * FROM (VALUES {weights}) AS v(k, term, w)), idf AS (SELECT * FROM (VALUES {idf}) AS v(term, idf)), name AS (SELECT * FROM (VALUES {names}) AS v(k, licence)),
+line AS (SELECT doc_id, i, lower(l[i]) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
+term AS (SELECT doc_id, i, unnest(regexp_extract_all(line, '[a-z0-9]+(?:\.[0-9]+)*')) AS term FROM line),
+total AS (SELECT doc_id, count(*) AS n FROM term GROUP BY doc_id),
+bag AS (SELECT doc_id, i, term, count(*) AS c FROM term GROUP BY ALL),
+weighed AS (SELECT b.*, c * coalesce(idf, CAST({m.unseen!r} AS DOUBLE)) AS x FROM bag b LEFT JOIN idf USING (term)),
+length AS (SELECT doc_id, i, sqrt(sum(x * x)) AS norm, sum(c) AS terms FROM weighed GROUP BY ALL),
+dot AS (SELECT doc_id, i, k, sum(x * w) AS dot FROM weighed JOIN weight USING (term) GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY round(dot, 9) DESC, k) AS r FROM dot),
+found AS (SELECT b.doc_id, b.i, dot / norm AS cosine, licence, terms FROM best b JOIN length USING (doc_id, i) JOIN name USING (k) WHERE r = 1 AND dot / norm >= {threshold}),
+own AS (SELECT doc_id, arg_max(licence, (round(cosine, 9), licence)) AS licence, round(arg_max(cosine, (round(cosine, 9), licence)), 6) AS score, sum(terms) AS terms FROM found GROUP BY doc_id),
+file AS (SELECT d.doc_id, d.source || '/' || CAST(d.doc_id AS VARCHAR) || '.txt' AS path, d.source AS dir, o.licence, o.score, CASE WHEN o.licence IS NULL THEN 0 ELSE round(o.terms / t.n, 6) END AS coverage
+  FROM documents d LEFT JOIN own o USING (doc_id) LEFT JOIN total t USING (doc_id)),
+vote AS (SELECT dir, licence, count(*) AS n FROM file WHERE licence IS NOT NULL AND coverage >= {file_share} GROUP BY ALL),
+held AS (SELECT dir, arg_min(licence, (-n, licence)) AS dir_licence FROM vote GROUP BY dir)
+SELECT doc_id, path, coalesce(f.licence, dir_licence) AS licence, score, CAST(coverage AS DOUBLE) AS coverage,
+  CASE WHEN f.licence IS NOT NULL THEN 'own' WHEN dir_licence IS NOT NULL THEN 'inherited' END AS found_by,
+  CASE WHEN f.licence IS NULL AND dir_licence IS NOT NULL THEN dir END AS licence_dir
+FROM file f LEFT JOIN held USING (dir)
+"""

@@ -149,4 +149,4 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_top_k": _OP2_SQL, "op8_decontamination": _OP8_SQL, "op10_near_duplicates": _OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_top_k": _OP2_SQL, "op4_licences": licences.oracle_sql(), "op8_decontamination": _OP8_SQL, "op10_near_duplicates": _OP10_SQL}
