@@ -116,7 +116,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """``doc_id, n, k1, k2, sig``: set size, 128-bit set key and signature (null without words)."""
+    """``doc_id, n, k1, k2, sig, sketch``: set size, 128-bit set key, signature and its low bytes (null without words)."""
 
     def rows(batches):
         for batch in batches:
@@ -129,11 +129,11 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFr
                 k1 = [int(s.sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
                 k2 = [int(mix(s * _M1).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([sig[at[j]].tobytes() if j in at else None for j in range(len(ids))], pa.binary())],
-                names=["doc_id", "n", "k1", "k2", "sig"],
+                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array([sig[at[j]].tobytes() if j in at else None for j in range(len(ids))], pa.binary()), pa.array([sig[at[j]].astype(np.uint8).tobytes() if j in at else None for j in range(len(ids))], pa.binary())],
+                names=["doc_id", "n", "k1", "k2", "sig", "sketch"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(rows, "doc_id long, n long, k1 long, k2 long, sig binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(rows, "doc_id long, n long, k1 long, k2 long, sig binary, sketch binary")
 
 
 def _node(path: np.ndarray, coordinate: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -275,7 +275,7 @@ def _clusters(leaves: DataFrame, reps: DataFrame, num: int, den: int) -> DataFra
             if n < 2:
                 continue
             rep, comp, size = (t.column(i).to_numpy() for i in (1, 2, 4))
-            sketch = np.frombuffer(b"".join(t.column(3).to_pylist()), dtype=np.uint32).reshape(n, COORDINATES).astype(np.uint8)
+            sketch = np.frombuffer(b"".join(t.column(3).to_pylist()), dtype=np.uint8).reshape(n, COORDINATES)
             u, seen = _Union(n), set()
             for a, b, _ in similar_pairs(sketch, size, comp, cut, num, den):
                 seen.add(int(a[0]))
@@ -290,7 +290,7 @@ def _clusters(leaves: DataFrame, reps: DataFrame, num: int, den: int) -> DataFra
                 name = xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.int64()), pa.array(rep[g], pa.int64()), pa.array(comp[g], pa.int64())], names=["cluster", "rep", "comp"])
 
-    full = leaves.join(reps.select("rep", "sig", "n"), "rep").select("node", "rep", "comp", "sig", "n")
+    full = leaves.join(reps.select("rep", "sketch", "n"), "rep").select("node", "rep", "comp", "sketch", "n")
     return full.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(rows, "cluster long, rep long, comp long").distinct()
 
 
@@ -365,7 +365,7 @@ def components(docs: DataFrame, shingle: int = 5, num: int = 4, den: int = 5, id
     ignored whatever their names, and an empty table gives no rows.
     """
     prints, _ = write_table(_fingerprints(docs, id_col, text_col, shingle), "near-prints")
-    reps = prints.where("k1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    reps = prints.where("k1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     reps, _ = write_table(reps, "near-reps")
     edges, comps = None, None
     for trees in (range(FIRST_TREES), range(FIRST_TREES, TREES)):
