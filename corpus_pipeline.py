@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kotoflow.llm import decontaminate, language_id, near_dup, packing, secret_scan
 from kotoflow.llm.common import table, write_table
+from kotoflow.session import ship
 
 #: Documents whose language is less certain than this go (with those that have no letters).
 MIN_LANGUAGE_SCORE = 0.2
@@ -21,21 +22,25 @@ MARK = "<SECRET>"
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; no letters or no confidence: rejected."""
+    ship(spark)
     return language_id.keep_known(docs, language_id.fit(docs), MIN_LANGUAGE_SCORE)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5-word shingles, Jaccard 0.8)."""
+    ship(spark)
     return near_dup.keep_one(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten-word window of a benchmark item."""
+    ship(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, confirmed secrets replaced."""
+    ship(spark)
     clean = secret_scan.redact(docs, F.col("source"), mark=MARK)
     n_chars = F.when(F.contains("text", F.lit(MARK)), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", n_chars).select(*docs.columns)
@@ -43,6 +48,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in 1024-token sequences."""
+    ship(spark)
     return packing.pack(docs)
 
 
