@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from kotoflow.operators.alignment import spoken
 from kotoflow.operators.njd import PAUSES, Token
@@ -21,11 +22,11 @@ class Phrase:
     words: list[Word] = field(default_factory=list)
     asks: bool = False
 
-    @property
+    @cached_property
     def size(self) -> int:
         return sum(len(w.moras) for w in self.words)
 
-    @property
+    @cached_property
     def accent(self) -> int:
         return self.words[0].token.acc or self.size
 
@@ -104,39 +105,49 @@ def make_labels(tokens: list[Token]) -> list[str]:
     flat = [(g, a, p) for g, group in enumerate(groups) for a, p in enumerate(group)]
     words = [(g, a, w, x) for g, a, p in flat for w, x in enumerate(p.words)]
     totals = (len(groups), len(flat), sum(p.size for *_, p in flat))
+    # look-up tables, so that a label costs the same in texts of any length
+    phrase_at = {x[:2]: i for i, x in enumerate(flat)}
+    word_at = {x[:3]: j for j, x in enumerate(words)}
+    sizes, first_phrase, first_word, before_group = {}, {}, {}, [(0, 0)]
+    for i, (g, a, x) in enumerate(flat):
+        first_phrase.setdefault(g, i)
+        sizes[g, a] = (sizes[g, a - 1][0] + sizes[g, a - 1][1] if a else 0, x.size)
+    for j, x in enumerate(words):
+        first_word.setdefault(x[0], j)
+    for group in groups:
+        before_group.append((before_group[-1][0] + len(group), before_group[-1][1] + sum(x.size for x in group)))
+    shape = [(len(x), before_group[g + 1][1] - before_group[g][1]) for g, x in enumerate(groups)]
     out = []
     for k, (_, place) in enumerate(phones):
         p = names[k : k + 5]
         text = f"{p[0]}^{p[1]}-{p[2]}+{p[3]}={p[4]}"
         if place is None or len(place) == 1:
             between = place is not None
-            ahead = next((i for i, x in enumerate(flat) if place is not None and x[0] > place[0]), 0 if k == 0 else len(flat))
-            wa = next((i for i, x in enumerate(words) if place is not None and x[0] > place[0]), 0 if k == 0 else len(words))
+            ahead = first_phrase[int(place[0] + 0.5)] if between else 0 if k == 0 else len(flat)
+            wa = first_word[int(place[0] + 0.5)] if between else 0 if k == 0 else len(words)
             g_now = int(place[0] + 0.5) if between else (0 if k == 0 else len(groups))
             left, right = (flat[ahead - 1][2] if ahead else None), (flat[ahead][2] if ahead < len(flat) else None)
             b, d = _b(words[wa - 1][3] if wa else None), _b(words[wa][3] if wa < len(words) else None)
             text += "/A:xx+xx+xx" + f"/B:{b[0]}-{b[1]}_{b[2]}/C:xx_xx+xx/D:{d[0]}+{d[1]}_{d[2]}"
             text += _e(left, None) + "/F:xx_xx#xx_xx@xx_xx|xx_xx" + _g(right, None)
-            text += _h(groups[g_now - 1] if g_now else None) + "/I:xx-xx@xx+xx&xx-xx|xx+xx" + _j(groups[g_now] if g_now < len(groups) else None)
+            text += _h(shape[g_now - 1] if g_now else None) + "/I:xx-xx@xx+xx&xx-xx|xx+xx" + _j(shape[g_now] if g_now < len(groups) else None)
         else:
             g, a, w, at = place
-            phrase, i = groups[g][a], next(i for i, x in enumerate(flat) if x[:2] == (g, a))
-            j = next(j for j, x in enumerate(words) if x[:3] == (g, a, w))
+            phrase, i, j = groups[g][a], phrase_at[g, a], word_at[g, a, w]
             n, acc = phrase.size, phrase.accent
             text += f"/A:{max(-49, min(49, at - acc))}+{at}+{n - at + 1}"
             b, c, d = _b(words[j - 1][3] if j else None), _b(words[j][3]), _b(words[j + 1][3] if j + 1 < len(words) else None)
             text += f"/B:{b[0]}-{b[1]}_{b[2]}/C:{c[0]}_{c[1]}+{c[2]}/D:{d[0]}+{d[1]}_{d[2]}"
             left, right = (flat[i - 1] if i else None), (flat[i + 1] if i + 1 < len(flat) else None)
             group = groups[g]
-            before = sum(x.size for x in group[:a])
-            size = sum(x.size for x in group)
+            before, size = sizes[g, a][0], before_group[g + 1][1] - before_group[g][1]
             text += _e(left[2] if left else None, int(left[0] == g) if left else None)
             text += f"/F:{n}_{acc}#{int(phrase.asks)}_xx@{a + 1}_{len(group) - a}|{before + 1}_{size - before}"
             text += _g(right[2] if right else None, int(right[0] == g) if right else None)
-            text += _h(groups[g - 1] if g else None)
-            done, moras = sum(len(x) for x in groups[:g]), sum(y.size for x in groups[:g] for y in x)
+            text += _h(shape[g - 1] if g else None)
+            done, moras = before_group[g]
             text += f"/I:{len(group)}-{size}@{g + 1}+{len(groups) - g}&{done + 1}-{totals[1] - done}|{moras + 1}+{totals[2] - moras}"
-            text += _j(groups[g + 1] if g + 1 < len(groups) else None)
+            text += _j(shape[g + 1] if g + 1 < len(groups) else None)
         out.append(text + f"/K:{totals[0]}+{totals[1]}-{totals[2]}")
     return out
 
@@ -150,9 +161,9 @@ def _g(p: Phrase | None, joined: int | None) -> str:
     return "/G:xx_xx%xx_xx_xx" if p is None else f"/G:{p.size}_{p.accent}%{int(p.asks)}_xx_{'xx' if joined is None else joined}"
 
 
-def _h(g: list[Phrase] | None) -> str:
-    return "/H:xx_xx" if g is None else f"/H:{len(g)}_{sum(x.size for x in g)}"
+def _h(group: tuple[int, int] | None) -> str:
+    return "/H:xx_xx" if group is None else f"/H:{group[0]}_{group[1]}"
 
 
-def _j(g: list[Phrase] | None) -> str:
-    return "/J:xx_xx" if g is None else f"/J:{len(g)}_{sum(x.size for x in g)}"
+def _j(group: tuple[int, int] | None) -> str:
+    return "/J:xx_xx" if group is None else f"/J:{group[0]}_{group[1]}"
