@@ -56,6 +56,43 @@ def test_against_brute_force(spark, small_leaf, monkeypatch):
     assert run(spark, docs, shingle=3, num=85, den=100) == brute(docs, 3, 85, 100)
 
 
+def alike(n, seed=5):
+    """Texts that share most shingles, about 0.67 alike, and every fourth a copy at 0.8 or more of the one before."""
+    rng, docs = random.Random(seed), []
+    shared = ["s%d" % i for i in range(400)]
+    for i in range(n):
+        own = ["d%d_%d" % (i, k) for k in range(100)]
+        if i % 4 == 3:
+            own = docs[-1][1].split()[400:]
+            own[:55] = ["e%d_%d" % (i, k) for k in range(55)]
+        docs.append((i, " ".join(shared + own)))
+    rng.shuffle(docs)
+    return docs
+
+
+def test_links_of_large_nodes_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(nd, "LEAF", 8)
+    docs = alike(200)
+    want = brute(docs, 1, 4, 5)
+    assert sum(not r[3] for r in want) == 50
+    assert run(spark, docs, shingle=1, num=4, den=5) == want
+
+
+def test_blocks_meet(spark, monkeypatch):
+    monkeypatch.setattr(nd, "LEAF", 8)
+    rows = [(1, i, 0 if i < 30 else i, 0, 30, 53) for i in range(53)]
+    got = {}
+    for r in nd._blocks(spark.createDataFrame(rows, "node long, rep long, comp long, main long, m long, n long")).collect():
+        got.setdefault(r["node"], []).append((r["rep"], r["side"]))
+    met = {tuple(sorted((a, b))) for x in got.values() for a, s in x for b, t in x if a != b and (s == t == -1 or s + t == 1)}
+    assert met == {(a, b) for a in range(53) for b in range(max(a + 1, 30), 53)}
+
+
+def test_recall_of_whole_trees():
+    assert nd.tree_miss(0.8) ** (nd.TREES - nd.FIRST_TREES) < 1e-4
+    assert nd.tree_miss(0.85) ** (nd.TREES - nd.FIRST_TREES) < 1e-5
+
+
 def test_null_id_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (2, "a b c")], "doc_id long, text string")
     rows = {tuple(r) for r in nd.components(df).collect()}
