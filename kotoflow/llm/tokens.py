@@ -4,8 +4,9 @@ A byte-level BPE splits a text into pieces before it merges, so a text's ids
 are the ids of its pieces joined.  Pieces repeat far more often than texts:
 ``Encoder`` looks up what it has seen and asks the library only for new pieces.
 Cutting at single spaces gives the library's own piece borders except inside
-runs of white space; such texts (and other kinds of tokenizer) go to the
-library whole.
+runs of white space and at added tokens, which the library matches in the text
+before it splits; such texts (and other kinds of tokenizer) go to the library
+whole.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocab_size = self.tokenizer.get_vocab_size()
         kind = repr(self.tokenizer.pre_tokenizer)
         plain = kind.startswith("ByteLevel") and "add_prefix_space=False" in kind and "use_regex=True" in kind
@@ -98,7 +99,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.words is None or self._AWKWARD.search(text):
+        if self.words is None or self._AWKWARD.search(text) or any(t in text for t in self.added):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return np.asarray(ids, dtype="<u4").tobytes()
         first, *rest = text.split(" ")

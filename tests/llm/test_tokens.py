@@ -5,10 +5,11 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from kotoflow.llm import packing, token_store
 from kotoflow.llm.token_store import EliasFano, Shard, pack_shard
-from kotoflow.llm.tokens import encoder
+from kotoflow.llm.tokens import DEFAULT_TOKENIZER, encoder, tokenizer_path
 
 AWKWARD = ["", " ", "  a", "a  b", "a   b ", "x \n y", "x\n\n y \n", "don't we'll  it's", "<|endoftext|> a", "日本語 text x", "\t\t a  b", "12 345,67", "é è\r\n ñ", "a" * 3000 + " " * 50]
 
@@ -29,6 +30,16 @@ def test_encoder_equals_library_random(text):
     assert encoder().encode(text) == library(text)
 
 
+@pytest.mark.parametrize("text", [*AWKWARD, "x <|endoftext|> y", "a<|endoftext|>b", "<|endoftext|>", "<|ENDOFTEXT|> a", "<|endoftext |> a b"])
+def test_encoder_equals_fresh_library(text):
+    fresh = Tokenizer.from_file(tokenizer_path(DEFAULT_TOKENIZER))
+    assert encoder().encode(text) == np.asarray(fresh.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_added_token_is_one_id():
+    assert np.frombuffer(encoder().encode("x <|endoftext|> y"), dtype="<u4").tolist() == [87, 220, 50256, 331]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 10**6), max_size=300))
 def test_elias_fano_round_trip(values):
