@@ -1,23 +1,33 @@
 """Language-model scoring by cross-entropy difference.
 
-Two n-gram models with one vocabulary - the 256 byte values, so no text has
-unknown tokens - are counted over whole texts: *target* over the chosen
-documents, *background* over all.  Orders are interpolated (Witten-Bell).  A
-document's score is its mean loss under the target model less that under the
-background model; lower is closer to the target.
-
-Counts are exact over all rows: each task adds up its texts, Spark sums tasks.
-At most 256 ** ORDER n-grams exist, so the summed model has a fixed bound (the
-table of loss differences is 64 MB as float32) whatever the corpus holds.
+Two n-gram models with one vocabulary are counted over whole texts: *target*
+over the chosen documents, *background* over all.  Orders are interpolated
+(Witten-Bell).  A document's score is its mean loss under the target model less
+that under the background model; lower is closer to the target.  Counts are
+exact over all rows.
+
+``score_words`` has the words of all documents as vocabulary and counts word
+bigrams.  Its models grow with the corpus: they are distributed tables, joined
+to the documents' own bigrams; the driver sees five totals.
+
+``score`` has the 256 byte values as vocabulary and counts byte trigrams: at
+most 256 ** ORDER exist, so its model is bounded and is broadcast.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kotoflow.llm.common import LOWER_AZ, write_table
+from kotoflow.llm.near_dup import _HASHES
+
 ORDER = 3
 TOKENS = 256
 
@@ -140,3 +150,67 @@ def score(docs: DataFrame, is_target: Column, id_col: str = "doc_id", text_col:
 
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(rows, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, loss_target double, loss_background double")
     return out.withColumn("score", F.col("loss_target") - F.col("loss_background"))
+
+
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: History of a text's first word.
+START = 0
+
+
+def words(text: str | None) -> list[bytes]:
+    """Runs of letters, digits and non-ASCII characters, A-Z lower-cased."""
+    return _WORD.findall(text.encode("utf-8", "surrogatepass").translate(LOWER_AZ)) if text else []
+
+
+def _bigrams(docs: DataFrame, is_target: Column, id_col: str, text_col: str) -> DataFrame:
+    """``row, doc_id, chosen, h, w, n``: each row's different bigrams (64-bit word hashes), and one
+    line without a bigram that has the row's id and number of words."""
+    kind = docs.schema[id_col].dataType
+
+    def rows(batches):
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                at_row, own, h, w, n = [], [], [], [], []
+                for k, text in enumerate(part.column(1)):
+                    ids = [x - (1 << 63) for x in map(_HASHES.__getitem__, words(text.as_py()))]
+                    pairs = Counter(zip([START, *ids], ids, strict=False))
+                    own += [k] * (len(pairs) + 1)
+                    at_row += [row] * (len(pairs) + 1)
+                    h += [None, *(p[0] for p in pairs)]
+                    w += [None, *(p[1] for p in pairs)]
+                    n += [len(ids), *pairs.values()]
+                    row += 1
+                take = pa.array(own, pa.int32())
+                name = part.column(0).take(pa.array([k if x is None else None for k, x in zip(own, w, strict=True)], pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(at_row, pa.int64()), name, part.column(2).take(take), pa.array(h, pa.int64()), pa.array(w, pa.int64()), pa.array(n, pa.int64())], names=["row", "doc_id", "chosen", "h", "w", "n"])
+
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(is_target, F.lit(False)).alias("chosen"))
+    return texts.mapInArrow(rows, f"row long, doc_id {kind.simpleString()}, chosen boolean, h long, w long, n long")
+
+
+def score_words(docs: DataFrame, is_target: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, loss_target, loss_background, score`` of every row, by word bigrams.
+
+    The vocabulary is every word of every row, so no text has unknown words.
+    Texts without words have null losses; else as ``score``.
+    """
+    all_rows, _ = write_table(_bigrams(docs, is_target, id_col, text_col), "lm-bigrams")
+    own = all_rows.where("w IS NOT NULL")
+    pairs, _ = write_table(own.groupBy("h", "w").agg(F.sum("n").alias("b"), F.sum(F.when(F.col("chosen"), F.col("n")).otherwise(0)).alias("t")), "lm-pairs")
+    single, _ = write_table(pairs.groupBy("w").agg(F.sum("b").alias("wb"), F.sum("t").alias("wt")), "lm-words")
+    after = pairs.groupBy("h").agg(F.sum("b").alias("hb"), F.sum("t").alias("ht"), F.count("*").alias("kb"), F.count(F.when(F.col("t") > 0, 1)).alias("kt"))
+    total = single.agg(F.sum("wb").alias("b"), F.sum("wt").alias("t"), F.count("*").alias("kinds_b"), F.count(F.when(F.col("wt") > 0, 1)).alias("kinds_t")).first()
+
+    def loss(x: str) -> Column:
+        kinds = total[f"kinds_{x}"]
+        one = (F.col(f"w{x}") + kinds / max(total["kinds_b"], 1)) / ((total[x] or 0) + kinds) if kinds else F.lit(1.0 / max(total["kinds_b"], 1))
+        two = (F.col(x) + F.col(f"k{x}") * one) / (F.col(f"h{x}") + F.col(f"k{x}"))
+        return -F.log(F.when(F.col(f"h{x}") > 0, two).otherwise(one))
+
+    losses, _ = write_table(pairs.join(single, "w").join(after, "h").select("h", "w", loss("t").alias("lt"), loss("b").alias("lb")), "lm-losses")
+    sums = own.select("row", "h", "w", "n").join(losses, ["h", "w"]).groupBy("row").agg(F.sum(F.col("n") * F.col("lt")).alias("lt"), F.sum(F.col("n") * F.col("lb")).alias("lb"))
+    out = all_rows.where("w IS NULL").select("row", "doc_id", F.col("n").alias("n_tokens")).join(sums, "row", "left")
+    out = out.select("doc_id", "n_tokens", (F.col("lt") / F.col("n_tokens")).alias("loss_target"), (F.col("lb") / F.col("n_tokens")).alias("loss_background"))
+    return out.withColumn("score", F.col("loss_target") - F.col("loss_background"))

@@ -49,7 +49,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
     side = F.broadcast(good) if good.count() <= TARGET_BROADCAST else good
     marked = docs.join(side, docs["doc_id"] == F.col("good_id"), "left")
-    return lm_scoring.score(marked, F.col("good_id").isNotNull())
+    return lm_scoring.score_words(marked, F.col("good_id").isNotNull())
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,48 @@ def test_lm_against_definition(spark):
     assert lm_scoring.score(df.limit(0), F.col("good")).count() == 0
 
 
+def test_op5_counts_words_of_the_corpus(spark, tmp_path):
+    from kotoflow.llm.queries import op5_lm_scoring
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["Ab", "cd", "é", "x1", f"own{i}"]) for _ in range(rng.randrange(0, 30)))) for i in range(30)] + [(50, None), (51, " . "), (None, "ab, cd"), (7, "ab cd"), (7, "ab cd")]
+    good = {1, 4, 7, 50, 20}
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1) for i in good] + [(2, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    seqs = [(i, (t or "").lower().replace(",", " ").replace(".", " ").split()) for i, t in rows]
+    vocabulary = {w for _, s in seqs for w in s}
+
+    def model(chosen):
+        one, two = Counter(), {}
+        for i, s in seqs:
+            if chosen(i):
+                one.update(s)
+                for h, w in zip([None, *s], s):
+                    two.setdefault(h, Counter())[w] += 1
+
+        def p(h, w):
+            low = (one[w] + len(one) / len(vocabulary)) / (one.total() + len(one))
+            f = two.get(h)
+            return (f[w] + len(f) * low) / (f.total() + len(f)) if f else low
+
+        return p
+
+    models = model(lambda i: i in good), model(lambda i: True)
+    want = []
+    for i, s in seqs:
+        losses = [sum(-math.log(p(h, w)) for h, w in zip([None, *s], s)) / len(s) for p in models] if s else [None, None]
+        want.append((i, len(s), *losses))
+    got = [tuple(r) for r in op5_lm_scoring(spark, str(tmp_path)).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[:2] == w[:2]
+        if w[2] is None:
+            assert g[2:] == (None, None, None)
+        else:
+            assert g[2:] == pytest.approx((w[2], w[3], w[2] - w[3]), abs=1e-9)
+    assert lm_scoring.score_words(spark.createDataFrame([], "doc_id long, text string"), F.lit(True)).count() == 0
+
+
 def test_lm_ranks_target_like_text(spark):
     rows = [(i, "the cat sat on the mat " * 3, True) for i in range(20)] + [(100 + i, "zq xv wk jj qq zz " * 3, False) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, good boolean")
