@@ -23,6 +23,8 @@ ORDERS = 3
 #: Labelled texts per language that the models are fitted on, about (drawn by a hash of the id).
 SAMPLE_PER_LANGUAGE = 400
 UNKNOWN = "und"
+#: A text is certain from this share of the margins that nearly all labelled sample texts reach (all but FLOOR_QUANTILE).
+FLOOR_SHARE, FLOOR_QUANTILE = 0.3, 0.01
 
 # Language codes by family.  A code that is not listed is a family of its own.
 FAMILIES: dict[str, str] = {
@@ -105,6 +107,9 @@ class Model:
     family_b: np.ndarray | None = None
     languages: dict[str, list[str]] = field(default_factory=dict)
     duels: dict[str, tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]] = field(default_factory=dict)
+    #: Least winning family and duel margins of a certain text, from the sample.
+    family_floor: float = 0.0
+    duel_floor: float = 0.0
 
     @classmethod
     def fit(cls, x: np.ndarray, langs: list[str]) -> Model:
@@ -123,21 +128,36 @@ class Model:
                 fits.append(linear_svm(x[use], np.where(names[use] == own[a], 1.0, -1.0)))
             if fits:
                 m.duels[f] = np.stack([w for w, _ in fits]), np.array([b for _, b in fits]), pairs
+        reached = [np.array(g)[np.isfinite(g)] for g in zip(*(m._decide(v)[2:] for v in x), strict=True)]
+        m.family_floor, m.duel_floor = (max(0.0, FLOOR_SHARE * float(np.quantile(g, FLOOR_QUANTILE))) if len(g) else 0.0 for g in reached)
         return m
 
     def predict(self, v: np.ndarray | None) -> tuple[str, float]:
         """Language and a confidence from 0 to 1 (the product of both steps' logistic margins)."""
+        return self._decide(v)[:2]
+
+    def certain(self, v: np.ndarray | None, min_score: float = 0.0) -> bool:
+        """Whether the text has a known language: its score and both absolute winning margins are high enough.
+
+        The score compares languages with each other only; a text in none of
+        them lies near zero for all, which the margins show.
+        """
+        lang, score, family, duel = self._decide(v)
+        return lang != UNKNOWN and score >= min_score and family >= self.family_floor and duel >= self.duel_floor
+
+    def _decide(self, v: np.ndarray | None) -> tuple[str, float, float, float]:
+        """Language, confidence and the winner's family and least duel margin (infinite where there is no choice)."""
         if v is None or not self.families:
-            return UNKNOWN, 0.0
-        family, score = self.families[0], 1.0
+            return UNKNOWN, 0.0, 0.0, 0.0
+        family, score, sure = self.families[0], 1.0, np.inf
         if self.family_w is not None:
             margins = self.family_w @ v + self.family_b
             k = int(np.argmax(margins))
             rest = np.delete(margins, k).max()
-            family, score = self.families[k], 1 / (1 + np.exp(-2 * (margins[k] - rest)))
+            family, score, sure = self.families[k], 1 / (1 + np.exp(-2 * (margins[k] - rest))), float(margins[k])
         own = self.languages[family]
         if len(own) == 1:
-            return own[0], float(score)
+            return own[0], float(score), sure, np.inf
         w, b, pairs = self.duels[family]
         margins = w @ v + b
         won, least = np.zeros(len(own)), np.full(len(own), np.inf)
@@ -146,7 +166,7 @@ class Model:
             won[q] += g < 0
             least[p], least[q] = min(least[p], g), min(least[q], -g)
         k = max(range(len(own)), key=lambda i: (won[i], least[i], -i))
-        return own[k], float(score / (1 + np.exp(-4 * least[k])))
+        return own[k], float(score / (1 + np.exp(-4 * least[k]))), sure, float(least[k])
 
 
 def held_out(id_col: str) -> Column:
@@ -202,13 +222,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
 
 def keep_known(docs: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
-    """The rows whose language is known with at least ``min_score``; columns as they were."""
+    """The rows whose language is known with at least ``min_score`` and certain margins; columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def rows(batches):
         for batch in batches:
-            got = [shared.value.predict(features(t.as_py())) for t in batch.column(at)]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in got], pa.bool_()))
+            yield batch.filter(pa.array([bool(shared.value.certain(features(t.as_py()), min_score)) for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)

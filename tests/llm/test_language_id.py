@@ -36,6 +36,16 @@ def test_held_out_accuracy(spark):
     assert other.families == model.families and np.array_equal(other.family_w, model.family_w)
 
 
+def test_texts_in_no_learned_language_go(spark):
+    rows = [r for r in docs(900) if r[2] != "xx"]
+    odd = ["日本語の文章です。これは学習した言語ではない。", "Это предложение написано на русском языке", "to jest zdanie po polsku", "bpmz jplsg jydtz wrzt vkjj zzqj " * 9]
+    df = spark.createDataFrame(rows + [(9000 + k, t, None) for k, t in enumerate(odd)], "doc_id long, text string, lang string")
+    model = li.fit(df)
+    kept = {r["doc_id"] for r in li.keep_known(df, model, 0.2).collect()}
+    assert not any(9000 + k in kept for k in range(len(odd)))
+    assert len(kept) > 0.98 * len(rows)
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[3:] for r in li.identify(df, li.fit(df)).collect()] == [("und", 0.0)]
