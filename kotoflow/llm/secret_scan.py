@@ -27,8 +27,14 @@ THRESHOLD = 0.5
 # read alike in Java and Python.
 _NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)"
 _ASSIGN = r"[A-Za-z0-9_\-]*?(?=[pPsStTaA])" + _NAME + r"""[ \t]*[=:][ \t]*["']?"""
+# A key block reaches to its END line, or without one over the lines that look like a body.
+_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^\-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----|(?:[ \t]*\r?\n[A-Za-z0-9+/=]{16,}+(?![^\r\n]))*+)"
+# Published formats may begin after a '/', '-' or '+' of a longer run.
+_KNOWN = r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9\-]{10,}+|[rs]k_live_[A-Za-z0-9]{16,}+|AIza[0-9A-Za-z_\-]{30,}+|eyJ[A-Za-z0-9_\-]{10,}+)"
+# A generic run ends before a known format inside it.
+_RUN = r"(?:[A-Za-z0-9_]|[+/\-](?!" + _KNOWN + r")){16,}+"
 # Every alternative starts at the border of a word, so a position inside a word costs one look back.
-_PATTERN = r"-----BEGIN [A-Z ]*PRIVATE KEY-----|(?<![A-Za-z0-9_\-])" + _ASSIGN + r"""[^ \t\r\n"']{6,}+|(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{16,}+"""
+_PATTERN = _BLOCK + r"|(?<![A-Za-z0-9_\-])" + _ASSIGN + r"""[^ \t\r\n"']{6,}+|(?<![A-Za-z0-9_])""" + _KNOWN + r"|(?<![A-Za-z0-9_+/\-])" + _RUN
 _KINDS = [
     ("private_key", r"^-----BEGIN"),
     ("aws_access_key", r"^(AKIA|ASIA)[0-9A-Z]{16}$"),
@@ -209,7 +215,8 @@ def _score_sql() -> str:
 
 
 _KIND_SQL = "case " + " ".join(f"when regexp_like(@value, r'{shape}') then '{name}'" for name, shape in _KINDS) + " when length(@named) > 0 then 'assigned' else 'generic' end"
-_KEPT_SQL = "length(@named) > 0 and length(@value) >= 6 or regexp_like(@value, '[0-9]') and length(@value) >= 16 or startswith(@value, '-----BEGIN')"
+_ANY_KIND = "|".join(shape for _, shape in _KINDS)
+_KEPT_SQL = f"length(@named) > 0 and length(@value) >= 6 or regexp_like(@value, '[0-9]') and length(@value) >= 16 or regexp_like(@value, r'{_ANY_KIND}')"
 
 
 def _with_candidates(docs: DataFrame, text: Column, path: Column) -> DataFrame:
@@ -267,7 +274,7 @@ def brute_force(text: str | None, path: str | None, threshold: float = THRESHOLD
         last = m.end()
         named = (re.match(_ASSIGN, m[0], re.ASCII) or [""])[0]
         value = m[0][len(named) :].rstrip(".,;:)]}")
-        if not (named and len(value) >= 6 or re.search("[0-9]", value) and len(value) >= 16 or value.startswith("-----BEGIN")):
+        if not (named and len(value) >= 6 or re.search("[0-9]", value) and len(value) >= 16 or re.search(_ANY_KIND, value)):
             continue
         kind = kind_of(value, bool(named))
         after = m[0][len(named) + len(value) :] + after
