@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kotoflow.llm.common import LOWER_AZ, write_table
-from kotoflow.llm.near_dup import _HASHES
+import xxhash
 
 ORDER = 3
 TOKENS = 256

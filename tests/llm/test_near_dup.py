@@ -93,6 +93,26 @@ def test_recall_of_whole_trees():
     assert nd.tree_miss(0.85) ** (nd.TREES - nd.FIRST_TREES) < 1e-5
 
 
+def test_clusters_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 100)
+    size = np.array([60, 60, 10, 300, 20, 5])
+    met = set()
+    for some, side in nd.block_pairs(size):
+        met |= {tuple(sorted((a, b))) for a, s in zip(some.tolist(), side) for b, t in zip(some.tolist(), side) if a != b and (s == t == -1 or s + t == 1)}
+    assert met == {(a, b) for a in range(6) for b in range(a + 1, 6)}
+    docs = corpus(4, 80)
+    assert run(spark, docs, shingle=3, num=85, den=100) == brute(docs, 3, 85, 100)
+
+
+def test_rows_that_share_an_id_and_clashing_names(spark):
+    base = [" ".join(f"{c}{k}" for k in range(30)) for c in "ab"]
+    rows = [(5, base[0]), (5, base[1]), (9, base[0] + " x"), (3, base[1] + " y")]
+    df = spark.createDataFrame([(a, b, 1, 2, 3) for a, b in rows], "doc_id long, text string, gone int, twice int, nth int")
+    assert {(r["doc_id"], r["component_id"]) for r in nd.components(df).collect()} == {(5, 3), (9, 3), (3, 3)}
+    kept = nd.keep_one(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(3, base[1] + " y", 1, 2, 3)]
+
+
 def test_null_id_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (2, "a b c")], "doc_id long, text string")
     rows = {tuple(r) for r in nd.components(df).collect()}
