@@ -52,7 +52,7 @@ FIRST_TREES = 3
 START = 3
 #: Children that each member of a large node is sent to; more than 1 / threshold, or deep pairs are lost.
 BRANCHES = 2
-LEAF = 256
+LEAF = 1024
 #: Levels below the first START.
 MAX_DEPTH = 8
 #: A large node is compared block by block instead of branching if that makes at most so many rows of each member.
