@@ -5,7 +5,8 @@
    holds best-fit, longest first.
 2. Nearly full bins are final.  Underfull bins go on as *items*: they are dealt
    into fewer groups and packed best-fit again, round after round, until a round
-   no longer saves bins or one group has seen them all.
+   no longer saves bins or one group has seen them all.  The first underfull bins
+   are taken apart for that, one item per piece: small pieces fill gaps best.
 
 A group never holds more than ``group_items`` underfull bins on average, so no
 task grows with the input; contents travel as one small struct per piece.
@@ -17,21 +18,20 @@ import bisect
 import zlib
 from collections.abc import Iterable
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kotoflow.llm.common import write_table
-from kotoflow.llm.tokens import DEFAULT_TOKENIZER, END_ID, encoder
+from kotoflow.llm.tokens import DEFAULT_TOKENIZER, END_ID, encoder, ended, sliced
 
 BIN_TOKENS = 1024
 #: A bin is nearly full, and final, from this share of its room.
-NEARLY_FULL = 0.985
+NEARLY_FULL = 0.998
 #: Underfull bins that one group of a merge round holds, about.
 GROUP_ITEMS = 8_000
-#: Bin ids have room for so many rounds; each round but the last saves 0.5 % of its bins.
+#: Bin ids have room for so many rounds; each round but the last saves 0.1 % of its bins.
 MAX_ROUNDS = 15
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("offset", pa.int32())])
@@ -95,19 +95,25 @@ def _batches(bins: list[tuple[int, int, list]], step: int = 4096):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.list_(_PIECE))], schema=_BINS)
 
 
-def encode_and_pack(docs: DataFrame, tokenizer: str, room: int, id_col: str, text_col: str, end_id: int) -> DataFrame:
-    """Round 0: tokens, pieces and a local best-fit in each scan task."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+def encode_and_pack(docs: DataFrame, tokenizer: str, room: int, id_col: str, text_col: str, end_id: int, full: int) -> DataFrame:
+    """Round 0: tokens, pieces and a local best-fit in each scan task; what is not full is taken apart."""
 
     def local(batches):
         enc, base = encoder(tokenizer), TaskContext.get().partitionId() << 36
         items = []
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.encode(text.as_py()) + end
-                for k, (start, n) in enumerate(cut(len(ids) // 4, room)):
-                    items.append((n, [{"doc_id": name, "piece": k, "start": start, "length": n, "ids_crc32": zlib.crc32(ids[4 * start : 4 * (start + n)]), "offset": 0}]))
-        yield from _batches(_packed(items, room, base))
+            for rows in sliced(batch, 1):
+                ids, border = ended(*enc.encode_many(rows.column(1)), end_id)
+                data, border = memoryview(ids).cast("B"), border.tolist()
+                for name, lo, hi in zip(rows.column(0).to_pylist(), border[:-1], border[1:], strict=True):
+                    for k, (start, n) in enumerate(cut(hi - lo, room)):
+                        at = 4 * (lo + start)
+                        items.append((n, [{"doc_id": name, "piece": k, "start": start, "length": n, "ids_crc32": zlib.crc32(data[at : at + 4 * n]), "offset": 0}]))
+        bins = _packed(items, room, base)
+        done = [b for b in bins if b[1] >= full]
+        apart = [p for _, fill, pieces in bins if fill < full for p in pieces]
+        yield from _batches(done)
+        yield from _batches([(base + len(bins) + j, p["length"], [p | {"offset": 0}]) for j, p in enumerate(apart)])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(local, _DDL)
 
@@ -133,7 +139,7 @@ def pack(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, room: int = BIN_TO
     the one met first, so a rerun of a task gives the same bins.
     """
     full = int(room * nearly_full)
-    bins, _ = write_table(encode_and_pack(docs, tokenizer, room, id_col, text_col, end_id), "bins-0")
+    bins, _ = write_table(encode_and_pack(docs, tokenizer, room, id_col, text_col, end_id, full), "bins-0")
     done, rest = [bins.where(F.col("fill") >= full)], bins.where(F.col("fill") < full)
     n, round_no = rest.count(), 0
     while n > 1:
@@ -142,7 +148,7 @@ def pack(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, room: int = BIN_TO
         left = merged.count()
         done.append(merged.where(F.col("fill") >= full))
         rest = merged.where(F.col("fill") < full)
-        if groups == 1 or (n - left) * 200 < n or round_no == MAX_ROUNDS:
+        if groups == 1 or (n - left) * 1000 < n or round_no == MAX_ROUNDS:
             break
         n = rest.count()
     done.append(rest)

@@ -2,21 +2,24 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from kotoflow.llm import packing, token_store
+from kotoflow.llm import packing, token_store, tokens
 from kotoflow.llm.token_store import EliasFano, Shard, pack_shard
 from kotoflow.llm.tokens import DEFAULT_TOKENIZER, encoder, tokenizer_path
 
 AWKWARD = ["", " ", "  a", "a  b", "a   b ", "x \n y", "x\n\n y \n", "don't we'll  it's", "<|endoftext|> a", "日本語 text x", "\t\t a  b", "12 345,67", "é è\r\n ñ", "a" * 3000 + " " * 50]
 
 
+FRESH = Tokenizer.from_file(tokenizer_path(DEFAULT_TOKENIZER))
+
+
 def library(text):
-    e = encoder()
-    return np.asarray(e.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    return np.asarray(FRESH.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 @pytest.mark.parametrize("text", AWKWARD)
@@ -30,10 +33,25 @@ def test_encoder_equals_library_random(text):
     assert encoder().encode(text) == library(text)
 
 
-@pytest.mark.parametrize("text", [*AWKWARD, "x <|endoftext|> y", "a<|endoftext|>b", "<|endoftext|>", "<|ENDOFTEXT|> a", "<|endoftext |> a b"])
-def test_encoder_equals_fresh_library(text):
-    fresh = Tokenizer.from_file(tokenizer_path(DEFAULT_TOKENIZER))
-    assert encoder().encode(text) == np.asarray(fresh.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+@pytest.mark.parametrize("text", ["x <|endoftext|> y", "a<|endoftext|>b", "<|endoftext|>", "<|ENDOFTEXT|> a", "<|endoftext |> a b", "\x01 a", "a \x01b", "a\u3000 b", "a \x0b b", "x\x85  y", "a\x1c b"])
+def test_encoder_equals_library_odd(text):
+    assert encoder().encode(text) == library(text)
+
+
+def test_columns_equal_library(monkeypatch):
+    rng = random.Random(7)
+    some = [rng.choice([None, "", *AWKWARD, "x <|endoftext|> y", *(" ".join(rng.choice(["the", "The", "don't", "été", "x\ny", "7,5"]) for _ in range(rng.randrange(40))) for _ in range(9))]) for _ in range(300)]
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 20)
+    monkeypatch.setattr(tokens, "WORDS_AT_ONCE", 3)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 500)
+    enc = tokens.Encoder()
+    batch = pa.RecordBatch.from_arrays([pa.array(some)], names=["t"])
+    got = []
+    for rows in tokens.sliced(batch, 0):
+        ids, border = tokens.ended(*enc.encode_many(rows.column(0)), 2)
+        got += [ids[a:b].tobytes() for a, b in zip(border[:-1], border[1:])]
+    assert got == [library(t or "") + b"\2\0\0\0" for t in some]
+    assert enc.encode_many(pa.array([], pa.string()))[1].tolist() == [0]
 
 
 def test_added_token_is_one_id():
@@ -45,7 +63,7 @@ def test_added_token_is_one_id():
 def test_elias_fano_round_trip(values):
     values.sort()
     x = EliasFano.from_bytes(EliasFano.of(np.array(values, dtype=np.int64)).to_bytes())
-    assert x.values().tolist() == values
+    assert [y for part in x.blocks() for y in part.tolist()] == values
     assert [x.select(i) for i in range(len(values))] == values
 
 
@@ -55,8 +73,7 @@ def test_elias_fano_is_small():
 
 
 def test_shard_with_nulls_and_repeats():
-    ids = [np.array(x, dtype="<u4").tobytes() for x in ([5, 2], [2], [70, 60000, 2])]
-    s = Shard(pack_shard([None, 3, 3], ids, 2))
+    s = Shard(pack_shard([None, 3, 3], np.array([2, 1, 3]), np.array([5, 2, 2, 70, 60000, 2]), 2))
     assert s.doc_ids() == [None, 3, 3]
     assert [s.ids(i).tolist() for i in range(3)] == [[5, 2], [2], [70, 60000, 2]]
 
@@ -81,6 +98,13 @@ def test_token_store(spark):
     assert token_store.token_store(frame(spark, [])).count() == 0
 
 
+def test_few_sequences(spark):
+    rng = random.Random(3)
+    rows = [(k, "word " * int(min(5000, rng.lognormvariate(5.5, 1))), None) for k in range(1000)]
+    got = packing.pack(frame(spark, rows).repartition(16)).select("sequence_id", "length").toPandas()
+    assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 1024) * 1.005 + 1
+
+
 def test_best_fit_is_any_fit():
     rng = random.Random(1)
     sizes = [rng.randint(1, 100) for _ in range(500)]
