@@ -9,10 +9,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of one Arrow batch: whole texts can be long, so fewer than Spark's default.
+BATCH_ROWS = 2048
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once per context, so that Python
-    workers import it wherever they run."""
+    workers import it wherever they run; Arrow batches that are at Spark's
+    default size get BATCH_ROWS rows."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if not getattr(sc, "_kotoflow_shipped", False):
         here = Path(__file__).resolve().parent
         to = Path(tempfile.mkdtemp(prefix="kotoflow-ship-")) / "kotoflow.zip"
