@@ -1,23 +1,28 @@
 """Language-model scoring by cross-entropy difference.
 
-Two n-gram models with one vocabulary are counted over whole texts: *target*
-over the chosen documents, *background* over all.  Orders are interpolated
-(Witten-Bell).  A document's score is its mean loss under the target model less
-that under the background model; lower is closer to the target.  Counts are
-exact over all rows.
-
-``score_words`` has the words of all documents as vocabulary and counts word
-bigrams.  Its models grow with the corpus: they are distributed tables, joined
-to the documents' own bigrams; the driver sees five totals.
-
-``score`` has the 256 byte values as vocabulary and counts byte trigrams: at
-most 256 ** ORDER exist, so its model is bounded and is broadcast.
+Two matched n-gram models - same vocabulary, order and smoothing - are counted
+over whole texts: *target* over the chosen documents, *background* over all.  The
+vocabulary is that of a public tokenizer, so no text has unknown tokens; n-grams are
+bigrams, a text's first token following a start mark.  Bigrams and unigrams are
+interpolated (Witten-Bell) with the uniform distribution below.  A document's score
+is its mean loss per token under the target model less that under the background
+model; lower is closer to the target.
+
+Every document is scored with its own counts taken out of both models, so that
+neither model has seen the text it judges: a text that occurs twice in the corpus
+is still known to the background, one that occurs once is not.
+
+The models grow with the corpus and are never collected.  Texts are encoded once
+into *blocks*; each block sends its different bigrams, with their counts, to
+*shards* of the model (by the bigram's first token), which add them up and send
+back the totals of exactly the block's bigrams.  So what travels is one entry for
+each different bigram of a block, not one for each token; a common bigram is one
+entry a block.  The driver sees per-token totals only (as many as the vocabulary).
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,192 +30,293 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kotoflow.llm.common import LOWER_AZ, write_table
-import xxhash
+from kotoflow.llm.common import Tables
+from kotoflow.llm.near_dup import mix
+from kotoflow.llm.tokens import DEFAULT_TOKENIZER, encoder, sliced
 
-ORDER = 3
-TOKENS = 256
+#: Tokens of one block, about (a longer text is a block by itself), and of the corpus for each shard of the model.
+BLOCK_TOKENS = 4_000_000
+SHARD_TOKENS = 8_000_000
+#: Entries that a shard gathers before it adds equal bigrams up.
+COMPACT = 4_000_000
 
 
-def grams(data: bytes) -> np.ndarray:
-    """Code of the n-gram that ends at each byte; positions before the text count as byte 0."""
-    b = np.frombuffer(b"\0" * (ORDER - 1) + data, dtype=np.uint8).astype(np.int32)
-    code = b[: len(data)]
-    for k in range(1, ORDER):
-        code = code * TOKENS + b[k : k + len(data)]
-    return code
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(columns)
 
 
-def counts(docs: DataFrame, is_target: Column, text_col: str = "text") -> DataFrame:
-    """``gram, background, target``: n-gram counts over all documents."""
+def _blocks(docs: DataFrame, is_target: Column, id_col: str, text_col: str, tokenizer: str) -> DataFrame:
+    """``block, names, chosen, border, ids``: encoded texts, many to a row."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(batches):
-        total = np.zeros((2, TOKENS**ORDER), dtype=np.int32)
-        seen = 0
-
-        def out():
-            some = np.flatnonzero(total[0])
-            for lo in range(0, len(some), 100_000):
-                g = some[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(total[0][g], pa.int64()), pa.array(total[1][g], pa.int64())], names=["gram", "background", "target"])
-            total[:] = 0
+        enc, block = encoder(tokenizer), TaskContext.get().partitionId() << 32
+        width = "<u2" if enc.vocab_size <= 65536 else "<u4"
+        names, chosen, sizes, ids, held = [], [], [], [], 0
+
+        def close():
+            nonlocal names, chosen, sizes, ids, held, block
+            name = pa.concat_arrays(names)
+            border = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+            out = _batch(
+                block=pa.array([block], pa.int64()),
+                names=pa.ListArray.from_arrays(pa.array([0, len(name)], pa.int32()), name),
+                chosen=pa.array([np.concatenate(chosen).tobytes()], pa.binary()),
+                border=pa.array([border.astype("<i8").tobytes()], pa.binary()),
+                ids=pa.array([np.concatenate(ids).tobytes()], pa.binary()),
+                n_tokens=pa.array([held], pa.int64()),
+            )
+            names, chosen, sizes, ids, held, block = [], [], [], [], 0, block + 1
+            return out
 
         for batch in batches:
-            for text, chosen in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                g, n = np.unique(grams(data), return_counts=True)
-                total[0][g] += n.astype(np.int32)
-                if chosen:
-                    total[1][g] += n.astype(np.int32)
-                seen += len(data)
-                if seen > 1 << 30:  # before a 32-bit count can overflow
-                    yield from out()
-                    seen = 0
-        yield from out()
-
-    texts = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(is_target, F.lit(False)).alias("chosen"))
-    return texts.mapInArrow(rows, "gram int, background long, target long").groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-class Model:
-    """Witten-Bell n-gram model from the counts of its highest order.
-
-    p(w | h) = (c(h w) + t(h) p(w | h')) / (c(h) + t(h)), where t(h) is the
-    number of different tokens seen after h and h' drops h's oldest token; below
-    the unigrams stands the uniform distribution.
-    """
+            for part in sliced(batch, 1):
+                flat, border = enc.encode_many(part.column(1))
+                names.append(part.column(0))
+                chosen.append(part.column(2).to_numpy(zero_copy_only=False).astype(np.uint8))
+                sizes.append(np.diff(border))
+                ids.append(flat.astype(width))
+                held += len(flat)
+                if held >= BLOCK_TOKENS:
+                    yield close()
+        if names:
+            yield close()
 
-    def __init__(self, gram: np.ndarray, count: np.ndarray):
-        self.levels = []
-        gram, count = gram[count > 0].astype(np.int64), count[count > 0]
-        for order in range(1, ORDER + 1):
-            low = gram % TOKENS**order
-            g, at = np.unique(low, return_inverse=True)
-            c = np.bincount(at, weights=count, minlength=len(g))
-            h, where = np.unique(g // TOKENS, return_inverse=True)
-            self.levels.append((g, c, h, np.bincount(where, weights=c, minlength=len(h)), np.bincount(where, minlength=len(h))))
-
-    def probabilities(self, code: np.ndarray) -> np.ndarray:
-        p = np.full(len(code), 1.0 / TOKENS)
-        for order, (g, c, h, total, kinds) in enumerate(self.levels, 1):
-            if not len(g):
-                return p
-            low = code % TOKENS**order
-            i = np.minimum(np.searchsorted(g, low), len(g) - 1)
-            seen = np.where(g[i] == low, c[i], 0.0)
-            j = np.minimum(np.searchsorted(h, low // TOKENS), len(h) - 1)
-            known = h[j] == low // TOKENS
-            p = np.where(known, (seen + kinds[j] * p) / np.where(known, total[j] + kinds[j], 1.0), p)
-        return p
-
-
-class Scorer:
-    """Losses of both models for every n-gram code, filled in where first needed."""
-
-    def __init__(self, gram: np.ndarray, background: np.ndarray, target: np.ndarray):
-        self.background, self.target = Model(gram, background), Model(gram, target)
-        self.table: tuple[np.ndarray, np.ndarray] | None = None
-
-    def losses(self, data: bytes) -> tuple[float, float]:
-        """Mean loss per byte (nats): target, background."""
-        if self.table is None:
-            self.table = np.full(TOKENS**ORDER, np.nan, dtype=np.float32), np.full(TOKENS**ORDER, np.nan, dtype=np.float32)
-        code, n = np.unique(grams(data), return_counts=True)
-        t, b = self.table
-        new = code[np.isnan(t[code])].astype(np.int64)
-        if len(new):
-            t[new], b[new] = -np.log(self.target.probabilities(new)), -np.log(self.background.probabilities(new))
-        return float(t[code].astype(np.float64) @ n) / len(data), float(b[code].astype(np.float64) @ n) / len(data)
-
-
-def score(docs: DataFrame, is_target: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, loss_target, loss_background, score`` of every row.
+    texts = docs.select(F.col(id_col).alias("name"), F.col(text_col).cast("string").alias("text"), F.coalesce(is_target, F.lit(False)).alias("chosen"))
+    return texts.mapInArrow(rows, f"block long, names array<{kind}>, chosen binary, border binary, ids binary, n_tokens long")
 
-    Null and empty texts have no tokens and null losses; a null ``is_target``
-    counts as false.  Without target documents the target model is uniform; an
-    empty table gives no rows.  Repeated rows count each time.  Other columns
-    are ignored.
-    """
-    model = counts(docs, is_target, text_col).toPandas()  # at most 256 ** ORDER rows
-    shared = docs.sparkSession.sparkContext.broadcast((model["gram"].to_numpy(), model["background"].to_numpy(), model["target"].to_numpy()))
-    made: list[Scorer] = []
+
+def _bigrams(ids: np.ndarray, border: np.ndarray, vocab: int) -> np.ndarray:
+    """Code of the bigram that ends at each token: history * (vocab + 1) + token; the start mark is token ``vocab``."""
+    code = np.empty(len(ids), dtype=np.uint32 if (vocab + 1) ** 2 <= 2**32 else np.uint64)
+    code[1:] = ids[:-1]
+    code[border[:-1][np.diff(border) > 0]] = vocab
+    return code * code.dtype.type(vocab + 1) + ids.astype(code.dtype)
+
+
+def _read(ids, border, chosen, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    border = np.frombuffer(border.as_py(), dtype="<i8")
+    ids = np.frombuffer(ids.as_py(), dtype="<u2" if vocab <= 65536 else "<u4")
+    return ids, border, np.frombuffer(chosen.as_py(), dtype=np.uint8).astype(bool)
+
+
+def _shards(codes: np.ndarray, vocab: int, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places) of ascending codes, by history."""
+    own = (mix((codes // codes.dtype.type(vocab + 1)).astype(np.uint64) + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    cuts = np.flatnonzero(np.diff(own[order], prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(own)], strict=True):
+        yield int(own[order[a]]), order[a:b]
+
+
+def _requests(blocks: DataFrame, vocab: int, shards: int) -> DataFrame:
+    """``shard, block, codes, b, t``: a block's different bigrams with their counts in all and in chosen texts."""
 
     def rows(batches):
-        if not made:
-            made.append(Scorer(*shared.value))
         for batch in batches:
-            n, target, background = [], [], []
-            for text in batch.column(1):
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                t, b = made[0].losses(data) if data else (None, None)
-                n.append(len(data))
-                target.append(t)
-                background.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(target, pa.float64()), pa.array(background, pa.float64())], names=["doc_id", "n_tokens", "loss_target", "loss_background"])
-
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(rows, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, loss_target double, loss_background double")
-    return out.withColumn("score", F.col("loss_target") - F.col("loss_background"))
+            for block, ids, border, chosen in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
+                ids, border, chosen = _read(ids, border, chosen, vocab)
+                code = _bigrams(ids, border, vocab)
+                codes, b = np.unique(code, return_counts=True)
+                own, n = np.unique(code[np.repeat(chosen, np.diff(border))], return_counts=True)
+                t = np.zeros(len(codes), dtype=np.int64)
+                t[np.searchsorted(codes, own)] = n
+                for shard, at in _shards(codes, vocab, shards):
+                    yield _batch(
+                        shard=pa.array([shard], pa.int32()), block=pa.array([block], pa.int64()), codes=pa.array([codes[at].tobytes()], pa.binary()), b=pa.array([b[at].astype("<u4").tobytes()], pa.binary()), t=pa.array([t[at].astype("<u4").tobytes()], pa.binary())
+                    )
+
+    return blocks.select("block", "ids", "border", "chosen").mapInArrow(rows, "shard int, block long, codes binary, b binary, t binary")
+
 
+def _added(codes: np.ndarray, b: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not len(codes):
+        return codes, b, t
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+    return codes[first], np.add.reduceat(b[order], first), np.add.reduceat(t[order], first)
 
-_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: History of a text's first word.
-START = 0
 
+_MODEL = "kind int, shard int, id long, b long, t long, kb long, kt long, codes binary, cb binary, ct binary"
 
-def words(text: str | None) -> list[bytes]:
-    """Runs of letters, digits and non-ASCII characters, A-Z lower-cased."""
-    return _WORD.findall(text.encode("utf-8", "surrogatepass").translate(LOWER_AZ)) if text else []
 
+def _model(requests: DataFrame, vocab: int) -> DataFrame:
+    """Kind 0: a shard's bigrams and totals.  Kind 1: totals and kinds of successors of a history; kind 2: totals of a token in the shard."""
+    dtype = np.uint32 if (vocab + 1) ** 2 <= 2**32 else np.uint64
 
-def _bigrams(docs: DataFrame, is_target: Column, id_col: str, text_col: str) -> DataFrame:
-    """``row, doc_id, chosen, h, w, n``: each row's different bigrams (64-bit word hashes), and one
-    line without a bigram that has the row's id and number of words."""
-    kind = docs.schema[id_col].dataType
+    def stats(kind, name, b, t, kb, kt):
+        n = len(name)
+        none = pa.nulls(n, pa.binary())
+        cols = {"kind": np.full(n, kind, np.int32), "shard": np.full(n, -1, np.int32), "id": name.astype(np.int64), "b": b, "t": t, "kb": kb, "kt": kt}
+        return _batch(**{k: pa.array(x) for k, x in cols.items()}, codes=none, cb=none, ct=none)
 
     def rows(batches):
-        row = TaskContext.get().partitionId() << 40
+        now, held, size = None, [], 0
+
+        def compact():
+            nonlocal held, size
+            held = [_added(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            size = len(held[0][0])
+
+        def close():
+            nonlocal held, size
+            compact()
+            codes, b, t = held[0]
+            one = lambda x: pa.array([x], pa.int64())
+            yield _batch(kind=pa.array([0], pa.int32()), shard=pa.array([now], pa.int32()), id=one(None), b=one(None), t=one(None), kb=one(None), kt=one(None), codes=pa.array([codes.tobytes()], pa.binary()), cb=pa.array([b.tobytes()], pa.binary()), ct=pa.array([t.tobytes()], pa.binary()))
+            h, w = codes // dtype(vocab + 1), codes % dtype(vocab + 1)
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            add = lambda x: np.add.reduceat(x.astype(np.int64), first)
+            yield stats(1, h[first], add(b), add(t), add(b > 0), add(t > 0))
+            w, wb, wt = _added(w, b, t)
+            yield stats(2, w, wb, wt, np.zeros_like(wb), np.zeros_like(wt))
+            held, size = [], 0
+
+        for batch in batches:
+            for shard, codes, b, t in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                if shard != now and held:
+                    yield from close()
+                now = shard
+                held.append((np.frombuffer(codes.as_py(), dtype), np.frombuffer(b.as_py(), "<u4").astype(np.int64), np.frombuffer(t.as_py(), "<u4").astype(np.int64)))
+                size += len(held[-1][0])
+                if size > COMPACT and len(held) > 1:
+                    compact()
+        if held:
+            yield from close()
+
+    asked = requests.select("shard", "codes", "b", "t").repartition("shard").sortWithinPartitions("shard")
+    return asked.mapInArrow(rows, _MODEL)
+
+
+def _replies(requests: DataFrame, model: DataFrame, vocab: int) -> DataFrame:
+    """``block, ord, cb, ct``: the model's totals for the bigrams that each block asked each shard for."""
+    dtype = np.uint32 if (vocab + 1) ** 2 <= 2**32 else np.uint64
+
+    def rows(batches):
+        known = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                at_row, own, h, w, n = [], [], [], [], []
-                for k, text in enumerate(part.column(1)):
-                    ids = [x - (1 << 63) for x in map(_HASHES.__getitem__, words(text.as_py()))]
-                    pairs = Counter(zip([START, *ids], ids, strict=False))
-                    own += [k] * (len(pairs) + 1)
-                    at_row += [row] * (len(pairs) + 1)
-                    h += [None, *(p[0] for p in pairs)]
-                    w += [None, *(p[1] for p in pairs)]
-                    n += [len(ids), *pairs.values()]
-                    row += 1
-                take = pa.array(own, pa.int32())
-                name = part.column(0).take(pa.array([k if x is None else None for k, x in zip(own, w, strict=True)], pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(at_row, pa.int64()), name, part.column(2).take(take), pa.array(h, pa.int64()), pa.array(w, pa.int64()), pa.array(n, pa.int64())], names=["row", "doc_id", "chosen", "h", "w", "n"])
-
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(is_target, F.lit(False)).alias("chosen"))
-    return texts.mapInArrow(rows, f"row long, doc_id {kind.simpleString()}, chosen boolean, h long, w long, n long")
-
-
-def score_words(docs: DataFrame, is_target: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, loss_target, loss_background, score`` of every row, by word bigrams.
-
-    The vocabulary is every word of every row, so no text has unknown words.
-    Texts without words have null losses; else as ``score``.
+            for shard, block, codes, cb, ct in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:], strict=True):
+                codes = np.frombuffer(codes.as_py(), dtype)
+                if block < 0:
+                    known = codes, np.frombuffer(cb.as_py(), np.int64), np.frombuffer(ct.as_py(), np.int64)
+                    continue
+                at = np.searchsorted(known[0], codes)
+                yield _batch(block=pa.array([block], pa.int64()), ord=pa.array([shard], pa.int32()), cb=pa.array([known[1][at].tobytes()], pa.binary()), ct=pa.array([known[2][at].tobytes()], pa.binary()))
+
+    none = F.lit(None).cast("binary")
+    asked = requests.select("shard", "block", "codes", none.alias("cb"), none.alias("ct"))
+    shard = model.where("kind = 0").select("shard", F.lit(-1).cast("long").alias("block"), "codes", "cb", "ct")
+    return asked.unionAll(shard).repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(rows, "block long, ord int, cb binary, ct binary")
+
+
+class _Losses:
+    """Losses of a block's documents under one model, each without its own counts."""
+
+    def __init__(self, own: dict[str, np.ndarray], total: int, kinds: int, vocab: int):
+        self.h, self.w, self.k, self.total, self.kinds, self.vocab = own["h"], own["w"], own["k"], total, kinds, vocab
+
+    def of(self, part: dict[str, np.ndarray], count: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        """Mean loss of each document; ``mine`` is 1 where the document is part of the model."""
+        doc, h, w, n = part["doc"], part["h"], part["w"], part["n"]
+        own = mine[doc]
+        one = self.w[w] - own * part["nw"] + self.kinds / self.vocab
+        one = one / (self.total - own * part["size"][doc] + self.kinds) if self.kinds else np.full(len(w), 1 / self.vocab)
+        gone = np.add.reduceat(((count == n) & (own > 0)).astype(np.int64), part["run"])  # successors seen in this document alone
+        kinds = self.k[h] - np.repeat(gone, part["run_size"])
+        seen = self.h[h] - own * part["nh"]
+        two = np.where(seen > 0, (count - own * n + kinds * one) / np.where(seen > 0, seen + kinds, 1), one)
+        return np.bincount(doc, weights=-np.log(two) * n, minlength=len(mine)) / np.maximum(part["size"], 1)
+
+
+def _own_counts(ids: np.ndarray, border: np.ndarray, code: np.ndarray, vocab: int) -> dict[str, np.ndarray]:
+    """A row for each document and different bigram: counts of the bigram (n), its history (nh) and its token (nw) in the document."""
+    size = np.diff(border)
+    doc = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((code, doc))
+    d, c = doc[order], code[order]
+    first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (c[1:] != c[:-1]))))
+    n = np.diff(np.append(first, len(d)))
+    d, c = d[first], c[first]
+    h, w = (c // c.dtype.type(vocab + 1)).astype(np.int64), (c % c.dtype.type(vocab + 1)).astype(np.int64)
+    run = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]))))
+    run_size = np.diff(np.append(run, len(d)))
+    nh = np.repeat(np.add.reduceat(n, run), run_size)
+    words, count = np.unique(doc * np.int64(vocab + 1) + ids, return_counts=True)
+    nw = count[np.searchsorted(words, d * np.int64(vocab + 1) + w)]
+    return {"doc": d, "code": c, "h": h, "w": w, "n": n, "run": run, "run_size": run_size, "nh": nh, "nw": nw, "size": size}
+
+
+def _scores(blocks: DataFrame, replies: DataFrame, totals: dict, vocab: int, shards: int, kind: str) -> DataFrame:
+    shared = blocks.sparkSession.sparkContext.broadcast(totals)  # a few numbers for each token of the vocabulary
+
+    def scored(names, ids, border, chosen, told):
+        ids, border, chosen = _read(ids, border, chosen, vocab)
+        size, name = np.diff(border), names.values
+        loss_t, loss_b = np.zeros(len(size)), np.zeros(len(size))
+        if len(ids):
+            code = _bigrams(ids, border, vocab)
+            codes = np.unique(code)
+            cb, ct = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
+            for shard, at in _shards(codes, vocab, shards):
+                cb[at], ct[at] = told[shard]
+            part = _own_counts(ids, border, code, vocab)
+            at = np.searchsorted(codes, part["code"])
+            x = shared.value
+            loss_b = _Losses(x["b"], x["total_b"], x["kinds_b"], vocab).of(part, cb[at], np.ones(len(size), np.int64))
+            loss_t = _Losses(x["t"], x["total_t"], x["kinds_t"], vocab).of(part, ct[at], chosen.astype(np.int64))
+        none = size == 0
+        return pa.RecordBatch.from_arrays([name, pa.array(size, pa.int64()), pa.array(loss_t, pa.float64(), mask=none), pa.array(loss_b, pa.float64(), mask=none)], names=["doc_id", "n_tokens", "loss_target", "loss_background"])
+
+    def rows(batches):
+        held, told = None, {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, order = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                if order < 0:
+                    if held is not None:
+                        yield scored(*held, told)
+                    held, told = [batch.column(i)[k] for i in (2, 5, 4, 3)], {}
+                else:
+                    told[order] = np.frombuffer(batch.column(6)[k].as_py(), np.int64), np.frombuffer(batch.column(7)[k].as_py(), np.int64)
+        if held is not None:
+            yield scored(*held, told)
+
+    none = F.lit(None).cast("binary")
+    texts = blocks.select("block", F.lit(-1).alias("ord"), "names", "chosen", "border", "ids", none.alias("cb"), none.alias("ct"))
+    told = replies.select("block", "ord", F.lit(None).cast(f"array<{kind}>").alias("names"), none.alias("chosen"), none.alias("border"), none.alias("ids"), "cb", "ct")
+    both = texts.unionAll(told).repartition("block").sortWithinPartitions("block", "ord")
+    return both.mapInArrow(rows, f"doc_id {kind}, n_tokens long, loss_target double, loss_background double")
+
+
+def score(docs: DataFrame, is_target: Column, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+    """``doc_id, n_tokens, loss_target, loss_background, score`` of every row.
+
+    Null and empty texts have no tokens and null losses; a null ``is_target``
+    counts as false.  Where a model holds nothing but the document itself (or
+    nothing at all) it is uniform.  An empty table gives no rows.  Repeated rows
+    count and are answered each.  Other columns are ignored.
     """
-    all_rows, _ = write_table(_bigrams(docs, is_target, id_col, text_col), "lm-bigrams")
-    own = all_rows.where("w IS NOT NULL")
-    pairs, _ = write_table(own.groupBy("h", "w").agg(F.sum("n").alias("b"), F.sum(F.when(F.col("chosen"), F.col("n")).otherwise(0)).alias("t")), "lm-pairs")
-    single, _ = write_table(pairs.groupBy("w").agg(F.sum("b").alias("wb"), F.sum("t").alias("wt")), "lm-words")
-    after = pairs.groupBy("h").agg(F.sum("b").alias("hb"), F.sum("t").alias("ht"), F.count("*").alias("kb"), F.count(F.when(F.col("t") > 0, 1)).alias("kt"))
-    total = single.agg(F.sum("wb").alias("b"), F.sum("wt").alias("t"), F.count("*").alias("kinds_b"), F.count(F.when(F.col("wt") > 0, 1)).alias("kinds_t")).first()
-
-    def loss(x: str) -> Column:
-        kinds = total[f"kinds_{x}"]
-        one = (F.col(f"w{x}") + kinds / max(total["kinds_b"], 1)) / ((total[x] or 0) + kinds) if kinds else F.lit(1.0 / max(total["kinds_b"], 1))
-        two = (F.col(x) + F.col(f"k{x}") * one) / (F.col(f"h{x}") + F.col(f"k{x}"))
-        return -F.log(F.when(F.col(f"h{x}") > 0, two).otherwise(one))
-
-    losses, _ = write_table(pairs.join(single, "w").join(after, "h").select("h", "w", loss("t").alias("lt"), loss("b").alias("lb")), "lm-losses")
-    sums = own.select("row", "h", "w", "n").join(losses, ["h", "w"]).groupBy("row").agg(F.sum(F.col("n") * F.col("lt")).alias("lt"), F.sum(F.col("n") * F.col("lb")).alias("lb"))
-    out = all_rows.where("w IS NULL").select("row", "doc_id", F.col("n").alias("n_tokens")).join(sums, "row", "left")
-    out = out.select("doc_id", "n_tokens", (F.col("lt") / F.col("n_tokens")).alias("loss_target"), (F.col("lb") / F.col("n_tokens")).alias("loss_background"))
+    kind, vocab = docs.schema[id_col].dataType.simpleString(), encoder(tokenizer).vocab_size
+    with Tables(docs.sparkSession) as tables:
+        blocks = tables.write(_blocks(docs, is_target, id_col, text_col, tokenizer), "lm-blocks")
+        n_tokens = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).head()[0]
+        shards = max(16, -(-n_tokens // SHARD_TOKENS))
+        requests = tables.write(_requests(blocks, vocab, shards), "lm-requests")
+        model = tables.write(_model(requests, vocab), "lm-model")
+        totals = _totals(model, vocab)
+        replies = tables.write(_replies(requests, model, vocab), "lm-replies")
+        out = tables.write(_scores(blocks, replies, totals, vocab, shards, kind), "lm-scores", keep=True)
     return out.withColumn("score", F.col("loss_target") - F.col("loss_background"))
+
+
+def _totals(model: DataFrame, vocab: int) -> dict:
+    """Totals of histories and tokens; a row for each of both kinds and token of the vocabulary at most."""
+    sums = model.where("kind > 0").groupBy("kind", "id").agg(*(F.sum(c).alias(c) for c in ("b", "t", "kb", "kt")))
+    out = {x: {y: np.zeros(vocab + 1, dtype=np.int64) for y in "hwk"} for x in "bt"}
+    got = sums.toPandas()
+    for x in "bt":
+        one, two = got[got["kind"] == 1], got[got["kind"] == 2]
+        out[x]["h"][one["id"]], out[x]["k"][one["id"]], out[x]["w"][two["id"]] = one[x], one[f"k{x}"], two[x]
+        out[f"total_{x}"], out[f"kinds_{x}"] = int(out[x]["w"].sum()), int((out[x]["w"] > 0).sum())
+    return out

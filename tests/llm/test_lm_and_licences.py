@@ -9,80 +9,44 @@ from pyspark.sql import functions as F
 from kotoflow.llm import licences, lm_scoring
 
 
-def slow_probability(context_counts, history, token, order):
-    """Witten-Bell by definition, from raw counts of every order."""
-    if order == 0:
-        return 1 / 256
-    h = history[len(history) - (order - 1) :] if order > 1 else b""
-    lower = slow_probability(context_counts, history, token, order - 1)
-    follow = context_counts[order].get(h, Counter())
-    if not follow:
-        return lower
-    total, kinds = sum(follow.values()), len(follow)
-    return (follow[token] + kinds * lower) / (total + kinds)
-
-
-def test_lm_against_definition(spark):
-    rng = random.Random(3)
-    rows = [(i, "".join(rng.choice("abcé ") for _ in range(rng.randrange(0, 60))), i % 3 == 0) for i in range(40)] + [(100, None, True), (101, "", None), (5, "abc", False), (102, "xyz " * 5000, None)]
-    df = spark.createDataFrame([r + (1.0,) for r in rows], "doc_id long, text string, good boolean, score double")
-    got = {(r["doc_id"], r["n_tokens"]): r for r in lm_scoring.score(df.repartition(3), F.col("good")).collect()}
-
-    def model(chosen):
-        out = {k: {} for k in (1, 2, 3)}
-        for _, t, g in rows:
-            if chosen(g):
-                data = b"\0\0" + (t or "").encode()
-                for i in range(2, len(data)):
-                    for k in (1, 2, 3):
-                        out[k].setdefault(data[i - k + 1 : i], Counter())[data[i]] += 1
-        return out
-
-    target, background = model(bool), model(lambda g: True)
-    for name, t, _ in rows[:40:4] + rows[40:43]:
-        data = (t or "").encode()
-        r = got[name, len(data)]
-        if not data:
-            assert r["score"] is None
-            continue
-        padded = b"\0\0" + data
-        loss = [sum(-math.log(slow_probability(m, padded[:i], padded[i], 3)) for i in range(2, len(padded))) / len(data) for m in (target, background)]
-        assert r["loss_target"] == pytest.approx(loss[0], rel=1e-5) and r["loss_background"] == pytest.approx(loss[1], rel=1e-5)
-        assert r["score"] == pytest.approx(loss[0] - loss[1], abs=1e-5)
-    assert lm_scoring.score(df.limit(0), F.col("good")).count() == 0
-
-
-def test_op5_counts_words_of_the_corpus(spark, tmp_path):
+@pytest.mark.parametrize("small", [False, True])
+def test_lm_against_definition(spark, tmp_path, monkeypatch, small):
     from kotoflow.llm.queries import op5_lm_scoring
+    from kotoflow.llm.tokens import encoder
 
+    if small:  # several blocks and shards in each task, sums in several steps
+        monkeypatch.setattr(lm_scoring, "BLOCK_TOKENS", 30)
+        monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 20)
+        monkeypatch.setattr(lm_scoring, "COMPACT", 10)
+        monkeypatch.setattr("kotoflow.llm.tokens.SLICE_BYTES", 60)
     rng = random.Random(4)
-    rows = [(i, " ".join(rng.choice(["Ab", "cd", "é", "x1", f"own{i}"]) for _ in range(rng.randrange(0, 30)))) for i in range(30)] + [(50, None), (51, " . "), (None, "ab, cd"), (7, "ab cd"), (7, "ab cd")]
+    rows = [(i, " ".join(rng.choice(["ab", "cd", "é", "x1", f"own{i}"]) for _ in range(rng.randrange(0, 30)))) for i in range(30)] + [(50, None), (51, ""), (None, "ab, cd"), (7, "ab cd"), (7, "ab cd"), (60, "日本")]
     good = {1, 4, 7, 50, 20}
-    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(a, b, 1, 2.0) for a, b in rows], "doc_id long, text string, block int, score double").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1) for i in good] + [(2, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    seqs = [(i, (t or "").lower().replace(",", " ").replace(".", " ").split()) for i, t in rows]
-    vocabulary = {w for _, s in seqs for w in s}
+    vocabulary = encoder().vocab_size
+    seqs = [(i, np.frombuffer(encoder().encode(t), "<u4").tolist()) for i, t in rows]
 
-    def model(chosen):
-        one, two = Counter(), {}
-        for i, s in seqs:
+    def loss(k, chosen):
+        """By definition: counts of all chosen rows but row k."""
+        every, one, two = set(), Counter(), {}
+        for j, (i, s) in enumerate(seqs):
             if chosen(i):
-                one.update(s)
-                for h, w in zip([None, *s], s):
-                    two.setdefault(h, Counter())[w] += 1
+                every |= set(s)
+                if j != k:
+                    one.update(s)
+                    for h, w in zip([None, *s], s):
+                        two.setdefault(h, Counter())[w] += 1
 
         def p(h, w):
-            low = (one[w] + len(one) / len(vocabulary)) / (one.total() + len(one))
+            low = (one[w] + len(every) / vocabulary) / (one.total() + len(every)) if every else 1 / vocabulary
             f = two.get(h)
             return (f[w] + len(f) * low) / (f.total() + len(f)) if f else low
 
-        return p
+        s = seqs[k][1]
+        return sum(-math.log(p(h, w)) for h, w in zip([None, *s], s)) / len(s) if s else None
 
-    models = model(lambda i: i in good), model(lambda i: True)
-    want = []
-    for i, s in seqs:
-        losses = [sum(-math.log(p(h, w)) for h, w in zip([None, *s], s)) / len(s) for p in models] if s else [None, None]
-        want.append((i, len(s), *losses))
+    want = [(i, len(s), loss(k, lambda i: i in good), loss(k, lambda i: True)) for k, (i, s) in enumerate(seqs)]
     got = [tuple(r) for r in op5_lm_scoring(spark, str(tmp_path)).collect()]
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
     for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
@@ -91,7 +55,17 @@ def test_op5_counts_words_of_the_corpus(spark, tmp_path):
             assert g[2:] == (None, None, None)
         else:
             assert g[2:] == pytest.approx((w[2], w[3], w[2] - w[3]), abs=1e-9)
-    assert lm_scoring.score_words(spark.createDataFrame([], "doc_id long, text string"), F.lit(True)).count() == 0
+    assert lm_scoring.score(spark.createDataFrame([], "doc_id long, text string"), F.lit(True)).count() == 0
+
+
+def test_lm_knows_text_that_occurs_twice(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4)))
+    rows = [(i, " ".join(word() for _ in range(80))) for i in range(60)]
+    rows += [(100 + i, t) for i, t in rows[:6]]
+    got = {r["doc_id"]: r["loss_background"] for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()}
+    twice = [got[i] for i in range(6)] + [got[100 + i] for i in range(6)]
+    assert max(twice) < 0.7 * min(got[i] for i in range(6, 60))
 
 
 def test_lm_ranks_target_like_text(spark):
@@ -101,14 +75,6 @@ def test_lm_ranks_target_like_text(spark):
     assert max(r["score"] for r in got if r["doc_id"] < 100) < min(r["score"] for r in got if r["doc_id"] >= 100)
 
 
-def test_probabilities_sum_to_one():
-    g = np.unique(lm_scoring.grams(b"hello world, hello all"))
-    m = lm_scoring.Model(g, np.ones(len(g)))
-    for h in (b"he", b"zz", b"o "):
-        codes = np.array([(h[0] * 256 + h[1]) * 256 + w for w in range(256)], dtype=np.int64)
-        assert m.probabilities(codes).sum() == pytest.approx(1)
-
-
 ROWS = [
     (1, "Some text here.\nReleased under the MIT License.", "a/b/x.py"),
     (2, "nothing", "a/b/c/d/y.py"),
