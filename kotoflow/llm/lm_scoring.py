@@ -37,6 +37,8 @@ from kotoflow.llm.tokens import DEFAULT_TOKENIZER, encoder, sliced
 #: Tokens of one block, about (a longer text is a block by itself), and of the corpus for each shard of the model.
 BLOCK_TOKENS = 4_000_000
 SHARD_TOKENS = 8_000_000
+#: Tokens that are scored at a time, about (a longer text is scored by itself).
+SCORE_TOKENS = 500_000
 #: Entries that a shard gathers before it adds equal bigrams up.
 COMPACT = 4_000_000
 
@@ -260,11 +262,17 @@ def _scores(blocks: DataFrame, replies: DataFrame, totals: dict, vocab: int, sha
             cb, ct = np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
             for shard, at in _shards(codes, vocab, shards):
                 cb[at], ct[at] = told[shard]
-            part = _own_counts(ids, border, code, vocab)
-            at = np.searchsorted(codes, part["code"])
             x = shared.value
-            loss_b = _Losses(x["b"], x["total_b"], x["kinds_b"], vocab).of(part, cb[at], np.ones(len(size), np.int64))
-            loss_t = _Losses(x["t"], x["total_t"], x["kinds_t"], vocab).of(part, ct[at], chosen.astype(np.int64))
+            run = (border[1:] - size) // SCORE_TOKENS
+            cuts = [*np.flatnonzero(np.diff(run, prepend=-1)).tolist(), len(size)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if border[i] == border[j]:
+                    continue
+                here = slice(border[i], border[j])
+                part = _own_counts(ids[here], border[i : j + 1] - border[i], code[here], vocab)
+                at = np.searchsorted(codes, part["code"])
+                loss_b[i:j] = _Losses(x["b"], x["total_b"], x["kinds_b"], vocab).of(part, cb[at], np.ones(j - i, np.int64))
+                loss_t[i:j] = _Losses(x["t"], x["total_t"], x["kinds_t"], vocab).of(part, ct[at], chosen[i:j].astype(np.int64))
         none = size == 0
         return pa.RecordBatch.from_arrays([name, pa.array(size, pa.int64()), pa.array(loss_t, pa.float64(), mask=none), pa.array(loss_b, pa.float64(), mask=none)], names=["doc_id", "n_tokens", "loss_target", "loss_background"])
 

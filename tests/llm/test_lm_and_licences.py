@@ -18,6 +18,7 @@ def test_lm_against_definition(spark, tmp_path, monkeypatch, small):
         monkeypatch.setattr(lm_scoring, "BLOCK_TOKENS", 30)
         monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 20)
         monkeypatch.setattr(lm_scoring, "COMPACT", 10)
+        monkeypatch.setattr(lm_scoring, "SCORE_TOKENS", 12)
         monkeypatch.setattr("kotoflow.llm.tokens.SLICE_BYTES", 60)
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["ab", "cd", "é", "x1", f"own{i}"]) for _ in range(rng.randrange(0, 30)))) for i in range(30)] + [(50, None), (51, ""), (None, "ab, cd"), (7, "ab cd"), (7, "ab cd"), (60, "日本")]
