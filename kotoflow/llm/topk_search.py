@@ -1,13 +1,20 @@
 """Exact top-k inner-product search with two cover trees.
 
-Vectors are dealt into blocks by id; each block of candidates and each block of
-queries gets a cover tree.  A dual traversal meets pairs of nodes: with centres
-c, d and covering radii r, s no pair below them scores more than
-``c.d + r|d| + s|c| + r s``, so the pair is dropped when that is less than the
-worst k-th score of the query group.  Remaining buckets are scored in integers.
-
-Every query block meets every candidate block, as rows of a key join (the stated
-query set against all rows, in blocks); a task holds one pair of blocks.
+Vectors are dealt into compact blocks by their nearest *pivot* (a bounded, fixed
+draw of vectors); what is more than a block is split by a hash.  Each block of
+candidates and each block of queries gets a cover tree.  A dual traversal meets
+pairs of nodes: with centres c, d and covering radii r, s no pair below them scores
+more than ``c.d + r|d| + s|c| + r s``, so the pair is dropped when that is less than
+the worst k-th score of the query group.  Remaining buckets are scored in integers.
+
+1. Every query block searches the candidate block whose root promises most.
+2. Root bounds against the k-th scores found there rule out pairs of blocks before
+   any vectors are joined; each remaining pair is a row of a key join (the stated
+   query set against all rows, in blocks), and starts from those k-th scores.
+
+A task holds one pair of blocks.  Vectors without cluster structure (independent
+random directions) have no node small enough for these bounds: all pairs of the
+query set are then compared, as matrix products.
 """
 
 from __future__ import annotations
@@ -20,10 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kotoflow.llm.common import write_table
+from kotoflow.llm.common import Tables
 
 BLOCK = 2048
+#: Queries are fewer than candidates and every block of them meets many blocks, so their blocks are larger.
+QUERY_BLOCK = 8192
 BUCKET = 64
+#: Children with fewer points stay in their parent's bucket.
+MIN_CHILD = 8
+#: Pivots that blocks are dealt by, at most.
+PIVOTS = 512
 #: Children's radii are this share of their parent's.
 SHRINK = 0.6
 SCALE = 256
@@ -45,8 +58,8 @@ class CoverTree:
     """Cover tree over the rows of ``points``; ``order`` lists rows bucket by bucket.
 
     A node's children are a greedy net: centres further apart than the child
-    radius, covering every point.  A child that would hold next to nothing stays
-    in its parent's bucket, so data without structure costs one flat bucket.
+    radius, covering every point.  Children of a few points stay in their
+    parent's bucket, where every point is a node of radius 0.
     """
 
     def __init__(self, points: np.ndarray):
@@ -71,13 +84,10 @@ class CoverTree:
         while len(left):
             near = np.sqrt(((x[left] - x[pick]) ** 2).sum(axis=1)) <= reach
             mine = left[near]
-            (groups if BUCKET // 2 <= len(mine) < len(rows) else stay).append(rows[mine])
+            (groups if MIN_CHILD <= len(mine) < len(rows) else stay).append(rows[mine])
             left = left[~near]
             if len(left):
                 pick = left[0]
-            if len(stay) > 8 * (1 + len(groups)):  # no structure at this scale
-                stay.append(rows[left])
-                break
         for g in stay:
             self.order += g.tolist()
         node.hi = len(self.order)
@@ -96,14 +106,21 @@ def _scores(q: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """Best k candidates of every query of a block, over one block of candidates."""
+    """Best k candidates of every query of a block, over one block of candidates.
 
-    def __init__(self, q: np.ndarray, q_ids: np.ndarray, q_tree: CoverTree, r: np.ndarray, r_ids: np.ndarray, r_tree: CoverTree, k: int):
+    ``start``: (score, found, some) of an earlier search by the same query tree;
+    ``fresh`` tells which of the results are new.
+    """
+
+    def __init__(self, q: np.ndarray, q_ids: np.ndarray, q_tree: CoverTree, r: np.ndarray, r_ids: np.ndarray, r_tree: CoverTree, k: int, start=None):
         self.q, self.q_ids, self.r, self.r_ids, self.k = q[q_tree.order], q_ids[q_tree.order], r[r_tree.order], r_ids[r_tree.order], k
+        self.points = self.r.astype(np.float64)
+        self.norms = np.sqrt((self.points**2).sum(axis=1)) * (1 + 1e-9)
         n = len(self.q)
-        self.score = np.full((n, k), -_LONG - 1, dtype=np.int64)
-        self.found = np.full((n, k), _LONG, dtype=np.int64)
-        self.some = np.zeros((n, k), dtype=bool)
+        if start is None:
+            start = np.full((n, k), -_LONG - 1, dtype=np.int64), np.full((n, k), _LONG, dtype=np.int64), np.zeros((n, k), dtype=bool)
+        self.score, self.found, self.some = (x.copy() for x in start)
+        self.fresh = np.zeros((n, k), dtype=bool)
         self.compared = 0
         if q_tree.root and r_tree.root:
             self._pair(q_tree.root, r_tree.root)
@@ -131,21 +148,39 @@ class Search:
         if self._bound(a, b, a.radius) < float(self.score[a.lo : a.hi, -1].min()):
             return
         if b.hi > b.lo:
-            self._base(slice(a.lo, a.hi), slice(b.lo, b.hi))
+            self._base(a, slice(b.lo, b.hi))
         for child in sorted(b.children, key=lambda c: -self._bound(a, c, a.radius)):
             self._group(a, child)
 
-    def _base(self, qs: slice, rs: slice) -> None:
-        new = _scores(self.q[qs], self.r[rs])
+    def _base(self, a: Node, rs: slice) -> None:
+        """A query bucket against a candidate bucket, whose points are nodes of radius 0."""
+        qs = slice(a.lo, a.hi)
+        if a.radius > 1e-6:
+            c = self.points[rs] @ a.centre
+            near = np.flatnonzero(c + a.radius * self.norms[rs] + 1e-6 * (1 + np.abs(c)) >= float(self.score[qs, -1].min())) + rs.start
+            if not len(near):
+                return
+        else:
+            near = np.arange(rs.start, rs.stop)
+        new = _scores(self.q[qs], self.r[near])
         self.compared += new.size
-        ids = np.broadcast_to(self.r_ids[rs], new.shape)
+        ids = np.broadcast_to(self.r_ids[near], new.shape)
         ok = ids != self.q_ids[qs][:, None]
         score = np.concatenate([self.score[qs], new], axis=1)
         found = np.concatenate([self.found[qs], ids], axis=1)
         some = np.concatenate([self.some[qs], ok], axis=1)
+        fresh = np.concatenate([self.fresh[qs], ok], axis=1)
+        if score.shape[1] > 4 * self.k:
+            # only what reaches the k-th best needs sorting
+            valued = np.where(some, np.maximum(score, -_LONG), -_LONG - 1)
+            kth = -np.partition(-np.maximum(valued, -_LONG), self.k - 1, axis=1)[:, self.k - 1]
+            width = int((valued >= kth[:, None]).sum(axis=1).max())
+            keep = np.argpartition(-np.maximum(valued, -_LONG), min(width, score.shape[1]) - 1, axis=1)[:, :width] if width < score.shape[1] else None
+            if keep is not None:
+                score, found, some, fresh = (np.take_along_axis(x, keep, axis=1) for x in (score, found, some, fresh))
         best = np.lexsort((found, -np.maximum(score, -_LONG), ~some), axis=1)[:, : self.k]
         take = lambda x: np.take_along_axis(x, best, axis=1)
-        self.score[qs], self.found[qs], self.some[qs] = np.where(take(some), take(score), -_LONG - 1), take(found), take(some)
+        self.score[qs], self.found[qs], self.some[qs], self.fresh[qs] = np.where(take(some), take(score), -_LONG - 1), take(found), take(some), take(fresh) & take(some)
 
 
 def quantized(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -155,28 +190,73 @@ def quantized(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.where(v.isNotNull() & F.col(id_col).isNotNull() & (F.size(v) > 0)).where(~bad).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
 
 
-def _blocks(rows: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
-    """``dim, block, data``: cover tree, ids and vectors of each block, dealt by id."""
-    n = max(1, -(-rows.count() // size))
-    keyed = rows.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block"), "vec_id", "v")
+def _pivots(rows: DataFrame) -> DataFrame:
+    """``dim, pivot, at``: up to PIVOTS vectors of each length, drawn by a hash of the id."""
+    drawn = rows.select(F.size("v").alias("dim"), "v", F.xxhash64("vec_id").alias("h"))
+    first = F.min_by(F.struct("v"), "h")  # one for each of PIVOTS hash classes: a partial aggregation
+    return drawn.groupBy("dim", F.pmod("h", F.lit(PIVOTS)).alias("pivot")).agg(first["v"].alias("at"))
+
+
+def _blocks(rows: DataFrame, pivots: list[tuple[int, int, list[int]]], tables: Tables, name: str, size: int) -> DataFrame:
+    """``dim, block, part, n, centre, norm, radius, data``: cover tree, ids and vectors of each block.
+
+    Vectors go to their nearest pivot; pivots with more than ``size`` vectors are
+    split into parts by a hash of id and vector.
+    """
+    by_dim: dict[int, tuple[list, list]] = {}
+    for dim, pivot, at in pivots:
+        by_dim.setdefault(dim, ([], []))[0].append(pivot)
+        by_dim[dim][1].append(at)
+    known = {d: (np.array(p), np.array(a, dtype=np.float64)) for d, (p, a) in by_dim.items()}
+
+    def near(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            dims = lists.value_lengths().to_numpy()
+            values, first = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(dims)))[:-1]
+            block = np.zeros(len(dims), dtype=np.int64)
+            for d in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == d)
+                x = values[first[at][:, None] + np.arange(d)].astype(np.float64)
+                names, points = known[d]
+                block[at] = names[np.argmin((points**2).sum(axis=1) - 2 * x @ points.T, axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(dims, pa.int32()), pa.array(block), batch.column(0), lists], names=["dim", "block", "vec_id", "v"])
+
+    dealt = tables.write(rows.mapInArrow(near, "dim int, block long, vec_id long, v array<long>"), f"{name}-dealt")
+    parts = dealt.groupBy("dim", "block").agg(F.ceil(F.count("*") / size).alias("parts"))
+    keyed = dealt.join(F.broadcast(parts), ["dim", "block"]).select("dim", "block", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).alias("part"), "vec_id", "v")
 
     def build(batches):
         held: dict[tuple, list] = {}
         for batch in batches:
-            for dim, block, name, v in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-                held.setdefault((dim, block), []).append((name, v.values.to_numpy()))
-        for (dim, block), got in sorted(held.items()):
+            for dim, block, part, name, v in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                held.setdefault((dim, block, part), []).append((name, v.values.to_numpy()))
+        for (dim, block, part), got in sorted(held.items()):
             got.sort(key=lambda x: (x[0], x[1].tolist()))
             ids, vec = np.array([g[0] for g in got], dtype=np.int64), np.stack([g[1] for g in got])
-            data = pickle.dumps((ids, vec.astype(np.int16) if np.abs(vec).max() < 2**15 else vec, CoverTree(vec)))
-            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["dim", "block", "data"])
+            tree = CoverTree(vec)
+            tree.points = None
+            data = pickle.dumps((ids, vec.astype(np.int16) if np.abs(vec).max() < 2**15 else vec, tree))
+            root = tree.root
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([dim], pa.int32()), pa.array([block], pa.int64()), pa.array([part], pa.int64()), pa.array([root.centre.tolist()], pa.list_(pa.float64())), pa.array([root.norm]), pa.array([root.radius]), pa.array([data], pa.binary())],
+                names=["dim", "block", "part", "centre", "norm", "radius", "data"],
+            )
 
     # a block is the whole content of its partition, so a task builds few trees
-    built = keyed.repartition(max(1, min(n, 4096)), "dim", "block").mapInArrow(build, "dim int, block long, data binary")
-    return write_table(built, name)[0], n
+    n = parts.agg(F.sum("parts")).head()[0] or 1
+    built = keyed.repartition(max(1, min(n, 4096)), "dim", "block", "part").mapInArrow(build, "dim int, block long, part long, centre array<double>, norm double, radius double, data binary")
+    return tables.write(built, name)
+
+
+def _bound(q: str, r: str) -> Column:
+    """No query below root ``q`` scores more with a candidate below root ``r``."""
+    c = F.aggregate(F.zip_with(f"{q}.centre", f"{r}.centre", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    q_norm, q_radius, r_norm, r_radius = (F.col(f"{x}.{y}") for x in (q, r) for y in ("norm", "radius"))
+    return c + q_radius * r_norm + r_radius * q_norm + q_radius * r_radius + 1e-6 * (1 + F.abs(c))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k best candidates by integer inner product.
 
     Candidates are all rows but those with the query's own id; ties go to the
@@ -186,25 +266,58 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     candidates each, and a repeated query row is answered each time.  Scores
     beyond 64 bits saturate.  Other columns are ignored.
     """
-    rows = quantized(vectors, id_col, vec_col)
-    asked = quantized(vectors.where(F.coalesce(is_query, F.lit(False))), id_col, vec_col)
-    refs, _ = _blocks(rows, "topk-candidates", block)
-    queries, n_query_blocks = _blocks(asked, "topk-queries", block)
-    fan = refs.select("dim", F.col("block").alias("r_block"), F.col("data").alias("r_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query_blocks - 1).cast("long"))).alias("block"))
-    pairs = fan.join(queries, ["dim", "block"]).select("dim", "block", "r_block", "r_data", "data").repartition("dim", "block", "r_block")
+    with Tables(vectors.sparkSession) as tables:
+        rows = quantized(vectors, id_col, vec_col)
+        asked = quantized(vectors.where(F.coalesce(is_query, F.lit(False))), id_col, vec_col)
+        # at most PIVOTS vectors of each length
+        pivots = [(r["dim"], r["pivot"], list(r["at"])) for r in _pivots(rows).collect()]
+        refs, queries = _blocks(rows, pivots, tables, "topk-candidates", block), _blocks(asked, pivots, tables, "topk-queries", query_block)
+        roots = ["dim", "block", "part", "centre", "norm", "radius"]
+        q, r = queries.select(roots).alias("q"), refs.select(roots).alias("r")
+        # one row for each query block: a few numbers for thousands of queries
+        met = r.join(F.broadcast(q), F.col("q.dim") == F.col("r.dim"))
+        key = [F.col("q.dim").alias("dim"), F.col("q.block").alias("block"), F.col("q.part").alias("part")]
+        best = met.groupBy(*key).agg(F.max_by(F.struct("r.block", "r.part"), F.struct(_bound("q", "r"), F.col("r.block"), F.col("r.part"))).alias("best"))
+        first = tables.write(best.select("dim", "block", "part", F.col("best.block").alias("r_block"), F.col("best.part").alias("r_part")), "topk-first")
+        seeds = tables.write(_searched(first, queries.withColumn("start", F.lit(None).cast("binary")), refs, k, True), "topk-seeds")
+        held = seeds.where("start IS NOT NULL").select("dim", "block", "part", "start", "worst")
+        q = queries.select(roots).join(F.broadcast(held.select("dim", "block", "part", "worst")), ["dim", "block", "part"]).alias("q")
+        more = r.join(F.broadcast(q), (F.col("q.dim") == F.col("r.dim")) & (_bound("q", "r") >= F.col("q.worst")))
+        more = more.select(*key, F.col("r.block").alias("r_block"), F.col("r.part").alias("r_part")).join(F.broadcast(first), ["dim", "block", "part", "r_block", "r_part"], "left_anti")
+        pairs = tables.write(more, "topk-pairs")
+        started = queries.join(held.drop("worst"), ["dim", "block", "part"])
+        found = seeds.where("start IS NULL").drop("start", "worst").unionAll(_searched(pairs, started, refs, k, False).drop("start", "worst"))
+        rank = F.row_number().over(Window.partitionBy("dim", "block", "part", "row").orderBy(F.col("score").desc(), "vec_id"))
+        out = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return tables.write(out, "topk-found", keep=True)
+
+
+def _searched(pairs: DataFrame, queries: DataFrame, refs: DataFrame, k: int, first: bool) -> DataFrame:
+    """Results of the pairs of blocks; of the first search also one row a query block to start others from
+    (``start``, and the worst k-th score)."""
 
     def search(batches):
         for batch in batches:
-            for dim, q_block, r_data, q_data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4), strict=True):
+            for dim, block, part, q_data, start, r_data in zip(*(batch.column(i).to_pylist() for i in range(3)), *batch.columns[3:], strict=True):
                 q_ids, q, q_tree = pickle.loads(q_data.as_py())
                 r_ids, r, r_tree = pickle.loads(r_data.as_py())
-                s = Search(q.astype(np.int64), q_ids, q_tree, r.astype(np.int64), r_ids, r_tree, k)
-                row, col = np.nonzero(s.some)
+                s = Search(q.astype(np.int64), q_ids, q_tree, r.astype(np.int64), r_ids, r_tree, k, pickle.loads(start.as_py()) if start.is_valid else None)
+                row, col = np.nonzero(s.fresh)
+                n = len(row) + first
+                none = [None] if first else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(row), dim), pa.int32()), pa.array(np.full(len(row), q_block), pa.int64()), pa.array(q_tree.order[row], pa.int64()), pa.array(s.q_ids[row], pa.int64()), pa.array(s.found[row, col], pa.int64()), pa.array(s.score[row, col], pa.int64())],
-                    names=["dim", "block", "row", "query_id", "vec_id", "score"],
+                    [
+                        *(pa.array([x] * n, t) for x, t in ((dim, pa.int32()), (block, pa.int64()), (part, pa.int64()))),
+                        *(pa.array([*x.tolist(), *none], pa.int64()) for x in (q_tree.order[row], s.q_ids[row], s.found[row, col], s.score[row, col])),
+                        pa.array([None] * len(row) + ([pickle.dumps((s.score, s.found, s.some))] if first else []), pa.binary()),
+                        pa.array([None] * len(row) + ([float(s.score[:, -1].min())] if first else []), pa.float64()),
+                    ],
+                    names=["dim", "block", "part", "row", "query_id", "vec_id", "score", "start", "worst"],
                 )
 
-    found = pairs.mapInArrow(search, "dim int, block long, row long, query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("dim", "block", "row").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    key = ["dim", "block", "part"]
+    right = refs.select("dim", F.col("block").alias("r_block"), F.col("part").alias("r_part"), F.col("data").alias("r_data"))
+    with_refs = right.join(F.broadcast(pairs) if first else pairs, ["dim", "r_block", "r_part"])
+    both = with_refs.join(queries.select(*key, "data", "start"), key).select(*key, "data", "start", "r_data", "r_block", "r_part")
+    dealt = both.repartition(*key, "r_block", "r_part").select(*key, "data", "start", "r_data")
+    return dealt.mapInArrow(search, "dim int, block long, part long, row long, query_id long, vec_id long, score long, start binary, worst double")
