@@ -3,9 +3,14 @@
 Pages of one host are aligned as DOM trees by simple tree matching and merged
 into the host's *wrapper*: for each slot it counts pages, sums text and link
 lengths and keeps the commonest texts.  Slots (and blocks) whose text stays the
-same on nearly all of a host's differing pages are template; slots that vary
-are content.  What markup itself declares as menu, footer, advert and so on is
-never content, so pages of hosts too small to compare are cut by that alone.
+same on nearly all of a host's differing pages, and slots that are mostly links,
+are template; of what varies, the slot that holds most of the text is content.
+
+A page's article is what aligns with the content slot, less template.  Markup
+comes second: elements that declare the article (``article``, ``main``) narrow or
+widen the content slot where they overlap it, and what markup itself declares as
+menu, footer, advert and so on is never content.  Pages of hosts too small to
+compare are cut by markup alone.
 
 Wrappers are merged in three steps - inside scan tasks, by (host, salt), by
 host - so a host with a third of all pages is never in one task; extraction
@@ -14,6 +19,7 @@ joins the few wrappers that decide anything back to the pages.
 
 from __future__ import annotations
 
+import bisect
 import html as html_lib
 import json
 import re
@@ -26,15 +32,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kotoflow.llm.common import write_table
+from kotoflow.llm.common import Tables, write_table
 
 #: A slot is template when so many pages of the host, and this share of them, have its text ...
 MIN_PAGES = 5
 SAME_SHARE = 0.8
 #: ... while at least this share of the host's pages differ (copies of one page prove nothing).
 DISTINCT_SHARE = 0.5
-#: Texts a slot remembers (Misra-Gries: any with more than 1 / KEEP of the pages is found) and hashes of its distinct-count sketch.
+#: Texts a slot remembers for each block of a page (Misra-Gries: counts are short by 1 / KEEP of the pages at most) and hashes of its distinct-count sketch.
 KEEP = 32
+#: Slots on a smaller share of a wrapper's pages decide nothing and go (from WEED pages on).
+RARE = 0.05
+WEED = 100
+#: A slot is the content slot if it holds this share of its parent's varying text.
+CONTENT_SHARE = 0.75
+#: Sibling lists with a larger table of pairs are aligned greedily.
+TABLE = 2500
+#: Deeper elements count as siblings (as in browsers, which bound the depth too).
+MAX_DEPTH = 150
 SKETCH = 64
 #: Wrapper bytes that may be broadcast to the extraction scan; above, a salted join takes over.
 BROADCAST_BYTES = 32 << 20
@@ -68,6 +83,7 @@ def parse(source: str | None) -> Dom:
     """Forgiving DOM of a page; never fails."""
     root = Dom("#root")
     stack, at, source = [root], 0, source or ""
+    beyond: list[str] = []  # open elements deeper than MAX_DEPTH: each is a sibling of the one before
     while at < len(source):
         m = _TOKEN.search(source, at)
         if not m:
@@ -80,6 +96,13 @@ def parse(source: str | None) -> Dom:
         if not name:
             continue
         if m[1] or m[4]:
+            if name in beyond:
+                del beyond[len(beyond) - 1 - beyond[::-1].index(name) :]
+                if name not in INLINE:
+                    stack[-1] = Dom("div")
+                    stack[-2].kids.append(stack[-1])
+                continue
+            beyond.clear()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == name:
                     del stack[k:]
@@ -93,8 +116,13 @@ def parse(source: str | None) -> Dom:
         attrs = m[3] if m[2] else m[6]
         marks = tuple(f"{a.lower()}:{b or c or d}" for a, b, c, d in _ATTR.findall(attrs)) if attrs and "=" in attrs else ()
         node = Dom(name, marks)
-        stack[-1].kids.append(node)
-        if name in RAW:
+        deep = len(stack) > MAX_DEPTH and name not in VOID and name not in RAW
+        stack[-2 if deep else -1].kids.append(node)
+        if deep:
+            stack[-1] = node
+            if len(beyond) < MAX_DEPTH:
+                beyond.append(name)
+        elif name in RAW:
             end = re.compile(f"</{name}[^>]*>", re.I).search(source, at)
             at = end.end() if end else len(source)
         elif name not in VOID and not (attrs or "").endswith("/"):
@@ -156,8 +184,8 @@ def squeeze(text: str) -> str:
     return " ".join(html_lib.unescape(text).split())
 
 
-def blocks(node: Dom, skip=frozenset(), inside: bool = True) -> list[str]:
-    """Text blocks in page order, without boilerplate and without the nodes (by identity) in ``skip``."""
+def blocks(node: Dom, skip=frozenset(), inside: bool = True, whole: bool = False) -> list[str]:
+    """Text blocks in page order, without boilerplate (unless ``whole``) and without the nodes (by identity) in ``skip``."""
     out, run = [], []
 
     def flush():
@@ -172,7 +200,7 @@ def blocks(node: Dom, skip=frozenset(), inside: bool = True) -> list[str]:
                 run.append(k)
             elif k.tag == "br":
                 run.append(" ")
-            elif boilerplate(k, inside) or id(k) in skip:
+            elif not whole and boilerplate(k, inside) or id(k) in skip:
                 if k.tag not in INLINE:
                     flush()
             elif k.tag in INLINE:
@@ -203,22 +231,23 @@ def _label(node: Dom) -> str:
 
 @dataclass
 class Slot:
-    """A wrapper node.  ``texts`` counts pages by text hash (heavy hitters only)."""
+    """A wrapper node.  ``texts`` counts pages by text hash (heavy hitters only); ``n_texts`` counts texts of all pages."""
 
     label: str
     pages: int = 0
     chars: int = 0
     links: int = 0
+    n_texts: int = 0
     texts: dict[int, int] = field(default_factory=dict)
     sketch: list[int] = field(default_factory=list)
     kids: list[Slot] = field(default_factory=list)
 
     def pack(self):
-        return [self.label, self.pages, self.chars, self.links, list(self.texts.items()), self.sketch, [k.pack() for k in self.kids]]
+        return [self.label, self.pages, self.chars, self.links, self.n_texts, list(self.texts.items()), self.sketch, [k.pack() for k in self.kids]]
 
     @classmethod
     def unpack(cls, x):
-        return cls(x[0], x[1], x[2], x[3], {int(a): b for a, b in x[4]}, x[5], [cls.unpack(k) for k in x[6]])
+        return cls(*x[:5], {int(a): b for a, b in x[5]}, x[6], [cls.unpack(k) for k in x[7]])
 
     def distinct(self) -> float:
         if len(self.sketch) < SKETCH:
@@ -242,41 +271,64 @@ def _raw(node: Dom):
             yield from _raw(k)
 
 
-def slots(node: Dom, inside: bool = False) -> tuple[Slot, list[tuple[Slot, Dom]]]:
+def slots(node: Dom) -> tuple[Slot, list[tuple[Slot, Dom]]]:
     """A page's own wrapper - block elements only, runs of flow blocks as one slot - and which element made each slot."""
     owners: list[tuple[Slot, Dom]] = []
 
-    def build(n: Dom) -> Slot:
-        s = Slot(_label(n), 1)
+    def build(n: Dom) -> tuple[Slot, list[str]]:
+        s = Slot(_label(n), 1, links=_link_chars(n))
         owners.append((s, n))
-        flow = None
+        flow, out, run = None, [], []
+
+        def flush():
+            text = squeeze("".join(run))
+            run.clear()
+            if text:
+                out.append(text)
+
         for k in n.kids:
-            if isinstance(k, str) or k.tag in INLINE or boilerplate(k, inside):
-                continue
-            if k.tag in FLOW:
+            if isinstance(k, str):
+                run.append(k)
+            elif k.tag in INLINE:
+                run.append(" " if k.tag == "br" else "".join(_raw(k)))
+            elif k.tag in FLOW:
+                flush()
                 if flow is None:
                     flow = Slot("#flow", 1)
                     s.kids.append(flow)
                 owners.append((flow, k))
-                for text in set(blocks(k)):
+                got = blocks(k, whole=True)
+                for text in set(got):
                     flow.texts[_hash(text)] = 1
-                flow.chars += sum(map(len, blocks(k)))
+                flow.n_texts = len(flow.texts)
+                flow.chars += sum(map(len, got))
                 flow.links += _link_chars(k)
-            else:
+                out += got
+            elif k.tag not in RAW and k.tag != "head":
+                flush()
                 flow = None
-                s.kids.append(build(k))
-        text = "\n".join(blocks(n))
-        s.chars, s.links = len(text), _link_chars(n)
+                kid, got = build(k)
+                s.kids.append(kid)
+                out += got
+        flush()
+        text = "\n".join(out)
+        s.chars, s.n_texts = len(text), 1
         s.texts, s.sketch = {_hash(text): 1}, [_hash(text)]
-        return s
+        return s, out
 
-    return build(node), owners
+    return build(node)[0], owners
 
 
 def matching(a: list[Slot], b: list[Slot]) -> list[tuple[int, int]]:
-    """Simple tree matching of two child lists: the order-preserving pairs with most matched nodes."""
+    """Simple tree matching of two child lists: the order-preserving pairs with most matched nodes.
+
+    Equal heads and tails of labels pair off; what is left of long lists is
+    aligned greedily by label, in order.
+    """
     if not a or not b:
         return []
+    if len(a) * len(b) > TABLE:
+        return _greedy(a, b)
     w = [[_size(x, y) for y in b] for x in a]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
@@ -294,12 +346,34 @@ def matching(a: list[Slot], b: list[Slot]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _greedy(a: list[Slot], b: list[Slot]) -> list[tuple[int, int]]:
+    head = 0
+    while head < min(len(a), len(b)) and a[head].label == b[head].label:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail].label == b[-1 - tail].label:
+        tail += 1
+    where: dict[str, list[int]] = {}
+    for j in range(head, len(b) - tail):
+        where.setdefault(b[j].label, []).append(j)
+    out, last = [(k, k) for k in range(head)], head - 1
+    for i in range(head, len(a) - tail):
+        own = where.get(a[i].label, [])
+        k = bisect.bisect_right(own, last)
+        if k < len(own):
+            last = own[k]
+            out.append((i, last))
+    return out + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+
+
 def _size(a: Slot, b: Slot) -> int:
     """Nodes that match in the best alignment of two subtrees; 0 if the roots differ."""
     if a.label != b.label:
         return 0
     if not a.kids or not b.kids:
         return 1
+    if len(a.kids) * len(b.kids) > TABLE:
+        return 1 + len(_greedy(a.kids, b.kids))
     row = [0] * (len(b.kids) + 1)
     for x in a.kids:
         new = [0]
@@ -311,72 +385,112 @@ def _size(a: Slot, b: Slot) -> int:
 
 def merge(a: Slot, b: Slot) -> Slot:
     """One wrapper for the pages of both; unmatched slots are kept in order as optional."""
+    out = _merged(a, b)
+    if out.pages >= WEED and out.pages // WEED > max(a.pages, b.pages) // WEED:
+        _weed(out, RARE * out.pages)
+    return out
+
+
+def _weed(s: Slot, least: float) -> None:
+    s.kids = [k for k in s.kids if k.pages >= least]
+    for k in s.kids:
+        _weed(k, least)
+
+
+def _merged(a: Slot, b: Slot) -> Slot:
     texts = dict(a.texts)
     for h, n in b.texts.items():
         texts[h] = texts.get(h, 0) + n
-    if len(texts) > KEEP:
-        # Misra-Gries: take off what the first one beyond KEEP has; exact for all that are commoner
-        off = sorted(texts.values(), reverse=True)[KEEP]
+    pages, n_texts = a.pages + b.pages, a.n_texts + b.n_texts
+    room = KEEP * -(-n_texts // pages)
+    if len(texts) > room:
+        # Misra-Gries: take off what the first one beyond the room has
+        off = sorted(texts.values(), reverse=True)[room]
         texts = {h: n - off for h, n in texts.items() if n > off}
-    out = Slot(a.label, a.pages + b.pages, a.chars + b.chars, a.links + b.links, texts, sorted(set(a.sketch) | set(b.sketch))[:SKETCH])
+    out = Slot(a.label, pages, a.chars + b.chars, a.links + b.links, n_texts, texts, sorted(set(a.sketch) | set(b.sketch))[:SKETCH])
     i = j = 0
     for x, y in [*matching(a.kids, b.kids), (len(a.kids), len(b.kids))]:
         out.kids += a.kids[i:x] + b.kids[j:y]
         if x < len(a.kids):
-            out.kids.append(merge(a.kids[x], b.kids[y]))
+            out.kids.append(_merged(a.kids[x], b.kids[y]))
         i, j = x + 1, y + 1
     return out
 
 
+#: What a slot is.
+OPEN, TEMPLATE, CONTENT = 0, 1, 2
+
+
 def decide(wrapper: Slot) -> dict | None:
-    """What the wrapper settles: ``tree`` of (label, template?, kids), ``same`` block hashes and
-    whether to descend to the slot that holds the varying text; None if nothing."""
+    """What the wrapper settles: ``tree`` of (label, what it is, kids) and ``same`` block hashes; None if nothing."""
     n = wrapper.pages
     if n < MIN_PAGES or wrapper.distinct() < DISTINCT_SHARE * n:
         return None
     same: list[int] = []
+    often = max(MIN_PAGES, RARE * n)
+
+    def fixed(s: Slot) -> bool:
+        common = max(s.texts.values(), default=0) >= (SAME_SHARE - 1 / KEEP) * s.pages
+        menu = s.chars > 0 and s.links >= 0.6 * s.chars and s.pages >= often
+        return s.label != "#flow" and (s.pages >= max(often, SAME_SHARE * n) and common or menu)
+
+    def varying(s: Slot) -> int:
+        return s.chars - sum(k.chars if fixed(k) else k.chars - varying(k) for k in s.kids)
+
+    content, at = None, wrapper
+    while True:
+        most = max((k for k in at.kids if k.label != "#flow" and not fixed(k)), key=varying, default=None)
+        if most is None or most.pages < SAME_SHARE * n or varying(most) < CONTENT_SHARE * varying(at):
+            break
+        content = at = most
 
-    def rule(s: Slot):
+    def rule(s: Slot, top: bool = False):
         if s.label == "#flow":
-            same.extend(h for h, c in s.texts.items() if s.pages >= MIN_PAGES and c >= SAME_SHARE * n)
-            fixed = False
-        else:
-            fixed = s.pages >= MIN_PAGES and max(s.texts.values(), default=0) >= SAME_SHARE * s.pages and s.pages >= SAME_SHARE * n
-        menu = s.chars > 0 and s.links >= 0.6 * s.chars and s.pages >= MIN_PAGES
-        return [s.label, int(fixed or (menu and s.label != "#flow")), s.chars, [rule(k) for k in s.kids]]
+            same.extend(h for h, c in s.texts.items() if s.pages >= MIN_PAGES and c >= (SAME_SHARE - 1 / KEEP) * n)
+        what = CONTENT if s is content else TEMPLATE if not top and fixed(s) else OPEN
+        return [s.label, what, [rule(k) for k in s.kids]]
 
-    tree = rule(wrapper)
-    tree[1] = 0
+    tree = rule(wrapper, True)
 
-    def any_fixed(t):
-        return t[1] or any(map(any_fixed, t[3]))
+    def any_settled(t):
+        return t[1] != OPEN or any(map(any_settled, t[2]))
 
-    return {"tree": tree, "same": same} if same or any_fixed(tree) else None
+    return {"tree": tree, "same": same} if same or any_settled(tree) else None
 
 
-def apply(decision: dict | None, root: Dom) -> tuple[frozenset, frozenset]:
-    """Elements (by identity) of the page that align with template slots, and template block hashes."""
-    if not decision:
-        return frozenset(), frozenset()
-    page, owners = slots(root)
-    who: dict[int, list[Dom]] = {}
-    for s, n in owners:
-        who.setdefault(id(s), []).append(n)
+class Decision:
+    """A decision made ready to be applied to many pages."""
 
-    def plain(t):
-        return Slot(t[0], kids=[plain(k) for k in t[3]])
+    def __init__(self, decision: dict):
+        self.same, self.what = frozenset(decision["same"]), {}
 
-    skip = set()
+        def shape(t) -> Slot:
+            s = Slot(t[0], kids=[shape(k) for k in t[2]])
+            self.what[id(s)] = t[1]
+            return s
 
-    def walk(p: Slot, t, shape: Slot):
-        for i, j in matching(p.kids, shape.kids):
-            if t[3][j][1]:
-                skip.update(id(n) for n in who[id(p.kids[i])])
-            else:
-                walk(p.kids[i], t[3][j], shape.kids[j])
+        self.shape = shape(decision["tree"])
+
+    def apply(self, body: Dom) -> tuple[frozenset, list[Dom]]:
+        """Elements (by identity) of the page that align with template slots, and those that align with the content slot."""
+        page, owners = slots(body)
+        who: dict[int, list[Dom]] = {}
+        for s, n in owners:
+            who.setdefault(id(s), []).append(n)
+        skip, content = set(), []
 
-    walk(page, decision["tree"], plain(decision["tree"]))
-    return frozenset(skip), frozenset(decision["same"])
+        def walk(p: Slot, s: Slot):
+            for i, j in matching(p.kids, s.kids):
+                what = self.what[id(s.kids[j])]
+                if what == TEMPLATE:
+                    skip.update(id(n) for n in who[id(p.kids[i])])
+                    continue
+                if what == CONTENT:
+                    content.extend(who[id(p.kids[i])])
+                walk(p.kids[i], s.kids[j])
+
+        walk(page, self.shape)
+        return frozenset(skip), content
 
 
 def _body(page: Dom) -> Dom:
@@ -384,12 +498,27 @@ def _body(page: Dom) -> Dom:
     return found[0] if found else page
 
 
-def extract(source: str | None, decision: dict | None = None) -> str:
+def _inside(node: Dom, others: list[Dom]) -> bool:
+    """Is any of ``others`` the node or below it?"""
+    want, todo = {id(x) for x in others}, [node]
+    while todo:
+        n = todo.pop()
+        if id(n) in want:
+            return True
+        todo += [k for k in n.kids if isinstance(k, Dom)]
+    return False
+
+
+def extract(source: str | None, decision: Decision | None = None) -> str:
     """Main text of one page, given what its host's wrapper settles."""
     page = parse(source)
-    roots = declared_roots(page) or [_body(page)]
-    skip, same = apply(decision, _body(page))
+    body, declared = _body(page), declared_roots(page)
+    skip, content = decision.apply(body) if decision else (frozenset(), [])
+    # markup that overlaps the content slot says more exactly what the article is
+    agreed = [d for d in declared if not content or any(_inside(c, [d]) or _inside(d, [c]) for c in content)]
+    roots = agreed or content or declared or [body]
     found = [b for r in roots if id(r) not in skip for b in blocks(r, skip)]
+    same = decision.same if decision else ()
     return "\n".join(b for b in found if not same or _hash(b) not in same)
 
 
@@ -405,7 +534,7 @@ def _open(x: bytes) -> Slot:
     return Slot.unpack(json.loads(zlib.decompress(x)))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
+def wrappers(pages: DataFrame, tables: Tables) -> DataFrame:
     """``host, decision`` (JSON) of every host whose wrapper settles something, from ``host, html``."""
 
     def local(batches):
@@ -439,7 +568,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     kind = "host string, salt int, pages long, wrapper binary"
     own = pages.where("host <> ''").select("host", "html").mapInArrow(local, kind)
-    own, _ = write_table(own, "wrappers")
+    own = tables.write(own, "wrappers")
     # hosts with too few pages settle nothing and need not be merged
     enough = own.groupBy("host").agg(F.sum("pages").alias("n")).where(F.col("n") >= MIN_PAGES).select("host")
     own = own.join(enough, "host", "left_semi").select("host", "salt", "pages", "wrapper")
@@ -456,7 +585,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     nothing), an empty table gives no rows, and other columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", F.coalesce(F.expr(_host("url")), F.lit("")))
-    found, _ = write_table(wrappers(rows), "wrapper-decisions")
+    with Tables(pages.sparkSession) as tables:
+        found, _ = write_table(wrappers(rows, tables), "wrapper-decisions")
     size = found.agg(F.coalesce(F.sum(F.length("host") + F.length("decision")), F.lit(0))).head()[0]
     if size <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(found), "host", "left")
@@ -465,14 +595,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
 
     def texts(batches):
-        known: dict[str, dict] = {}
+        known: dict[str, Decision] = {}
         for batch in batches:
             out = []
             for source, decision in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
                 if decision is not None and decision not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[decision] = json.loads(decision)
+                    known[decision] = Decision(json.loads(decision))
                 out.append(extract(source.as_py(), known.get(decision)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -65,3 +65,62 @@ def test_simple_tree_matching():
     b = [s("ul"), s("div", s("p"), s("h1"))]
     assert hx.matching(a, b) == [(1, 0), (2, 1)]
     assert hx._size(s("x", *a), s("x", *b)) == 5
+
+
+def test_deep_nesting():
+    n = 100_000
+    assert hx.extract("<div>" * n + "<p>deep" + "</div>" * n + "<p>after").split("\n") == ["deep", "after"]
+    assert hx.extract("<article><p>a " + "<span>x " * 2000 + "</article><p>out").startswith("a x x")
+    w, _ = hx.slots(hx._body(hx.parse("<div>" * n + "x")))
+    assert hx.merge(w, w).pages == 2
+
+
+def story(rng, i, marks):
+    """A page with menu, advert and footer that differ from page to page, with or without marks that say so."""
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    menu = "".join(f'<li><a href="/{k}">{words(1)}</a></li>' for k in range(6))
+    head, text = words(5), [words(rng.randrange(3, 60)) for _ in range(rng.randrange(1, 9))]
+    a, n, f, c = ("article", "nav", "footer", ' class="ad"') if marks else ("div", "div", "div", "")
+    page = f"<html><body><{n}><ul>{menu}</ul></{n}><div{c}>{words(6)}</div><{a}><h1>{head}</h1>{''.join(f'<p>{t}</p>' for t in text)}</{a}><{f}>{words(7)}</{f}></body></html>"
+    return page, "\n".join([head, *text])
+
+
+def test_wrapper_finds_the_article_without_marks(spark):
+    for marks in (True, False):
+        rng = random.Random(8)
+        made = [story(rng, i, marks) for i in range(40)]
+        df = spark.createDataFrame([(i, "http://a.example.com/", p) for i, (p, _) in enumerate(made)], "page_id long, url string, html string")
+        got = {r["page_id"]: r["text"] for r in hx.main_text(df.repartition(4)).collect()}
+        assert got == {i: t for i, (_, t) in enumerate(made)}
+
+
+def test_constant_paragraph_among_many_is_template():
+    rng, w = random.Random(5), None
+    for i in range(60):
+        text = "".join(f"<p>{rng.random()} {k}</p>" for k in range(30))
+        x, _ = hx.slots(hx._body(hx.parse(f"<body><div><h1>t {i}</h1>{text}<p>Support us</p></div><div>x</div></body>")))
+        w = hx.merge(w, x) if w else x
+    assert hx._hash("Support us") in hx.Decision(hx.decide(w)).same
+
+
+def test_matching_against_all_alignments():
+    def best(a, b):
+        if not a or not b:
+            return 0
+        both = 1 + best(a[0].kids, b[0].kids) + best(a[1:], b[1:]) if a[0].label == b[0].label else 0
+        return max(both, best(a[1:], b), best(a, b[1:]))
+
+    rng = random.Random(2)
+    tree = lambda depth: hx.Slot(rng.choice("xyz"), 1, kids=[tree(depth - 1) for _ in range(rng.randrange(4))] if depth else [])
+    for _ in range(200):
+        a, b = [tree(2) for _ in range(rng.randrange(5))], [tree(2) for _ in range(rng.randrange(5))]
+        assert sum(hx._size(a[i], b[j]) for i, j in hx.matching(a, b)) == best(a, b)
+
+
+def test_long_lists_align_in_order(monkeypatch):
+    rng = random.Random(6)
+    a = [hx.Slot(rng.choice("pq") + str(rng.randrange(3)), 1) for _ in range(900)]
+    b = a[:400] + [hx.Slot("new", 1)] + a[450:]
+    got = hx.matching(a, b)
+    assert all(a[i].label == b[j].label for i, j in got) and len(got) >= 840
+    assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
