@@ -45,7 +45,8 @@ class WuManber:
                 block, far = self._block(pattern, end), m - end
                 if far < self.shift.get(block, self.jump):
                     self.shift[block] = far
-            self.buckets.setdefault(self._block(pattern, m), []).append((pattern, items))
+            # by suffix block, then by first word: patterns with a common ending are not compared one by one
+            self.buckets.setdefault(self._block(pattern, m), {}).setdefault(pattern[0], []).append((pattern, items))
 
     def _block(self, words, end: int):
         return words[end - 1] if self.b == 1 else (words[end - 2], words[end - 1])
@@ -61,7 +62,7 @@ class WuManber:
                 at += far
                 continue
             start = at - m + 1
-            for pattern, items in self.buckets[block]:
+            for pattern, items in self.buckets[block].get(text[start], ()):
                 if tuple(text[start : at + 1]) == pattern:
                     yield start, items
             at += 1
@@ -128,15 +129,6 @@ def scan(docs: DataFrame, block: list, id_col: str, text_col: str, window: int)
     return rows.mapInArrow(find, f"doc_id {docs.schema[id_col].dataType.simpleString()}, row long, n_words long, starts array<long>, ends array<long>, items array<string>")
 
 
-def _merged(starts, ends) -> int:
-    flat = sorted((s, e) for a, b in zip(starts, ends, strict=True) for s, e in zip(a, b, strict=True))
-    hit, at = 0, 0
-    for s, e in flat:
-        hit += max(0, e - max(s, at))
-        at = max(at, e)
-    return hit
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
     """Per document: ``doc_id, n_words, starts, ends, items, n_hit, n_items, items_sha256, contaminated``.
 
@@ -155,9 +147,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             every = every.unionAll(x.withColumn("pass", F.lit(k)))
         grouped = every.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.count_if(F.col("pass") == 0).alias("copies"), F.collect_set(F.struct("starts", "ends")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
-        n_hit = F.udf(lambda spans: _merged([s["starts"] for s in spans], [s["ends"] for s in spans]), "long")
-        # ranges of several passes, joined as one ascending list of hit words' ranges
-        hits = grouped.select("doc_id", "row", "n_words", F.flatten("spans.starts").alias("starts"), F.flatten("spans.ends").alias("ends"), "items", n_hit("spans").alias("n_hit"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+        # ranges of several passes as one ascending list of disjoint ranges
+        spans = F.array_sort(F.flatten(F.transform("spans", lambda x: F.arrays_zip(x["starts"], x["ends"]))))
+        joined = grouped.withColumn("spans", spans).withColumn(
+            "spans",
+            F.expr(
+                """aggregate(spans, cast(array() as array<struct<s:bigint,e:bigint>>), (a, x) ->
+                   if(size(a) > 0 and element_at(a, -1).e >= x.starts,
+                      concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.ends)))),
+                      concat(a, array(named_struct('s', x.starts, 'e', x.ends)))))"""
+            ),
+        )
+        n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"]), F.lit(0))
+        hits = joined.select("doc_id", "n_words", F.col("spans.s").alias("starts"), F.col("spans.e").alias("ends"), "items", n_hit.alias("n_hit"), F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
     return hits.drop("row").withColumns({"n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256), "contaminated": F.col("n_hit") > 0})
 
 

@@ -259,9 +259,13 @@ def redact(docs: DataFrame, path: Column, text_col: str = "text", mark: str = "<
     features = ", ".join(f"{_named(sql, 'x')} as {name}" for name, sql in FEATURES)
     values = f"transform(filter(transform(transform(__c, x -> struct(x.value as value, {features})), x -> struct(x.value as value, {_named(_score_sql(), 'x')} as score)), x -> x.score >= {threshold}D), x -> x.value)"
     longest = f"array_sort(array_distinct({values}), (a, b) -> case when length(a) > length(b) then -1 when length(a) < length(b) then 1 when a < b then -1 when a > b then 1 else 0 end)"
-    rows = _with_candidates(docs, F.col(text_col), path)
-    clean = F.when(F.size("__c") > 0, F.aggregate(F.expr(longest), F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, clean).select(*(f"`{c}`" for c in docs.columns))
+    # the caller's columns get names of ours meanwhile, so none can clash
+    names = docs.columns
+    own = docs.select(*(F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(names)), path.alias("own_path"))
+    text = f"own{names.index(text_col)}"
+    rows = _with_candidates(own, F.col(text), F.col("own_path"))
+    clean = F.when(F.size("__c") > 0, F.aggregate(F.expr(longest), F.col(text), lambda t, v: F.replace(t, v, F.lit(mark)))).otherwise(F.col(text))
+    return rows.withColumn(text, clean).select(*(F.col(f"own{i}").alias(c) for i, c in enumerate(names)))
 
 
 def brute_force(text: str | None, path: str | None, threshold: float = THRESHOLD) -> list[tuple]:

@@ -79,3 +79,11 @@ def test_forest_on_new_findings():
         kind = ss.kind_of(v, bool(re.search(ss._TELLING, b, re.ASCII)))
         right += (ss.score_of(ss.features_of(v, kind, b, a, p), trees) >= 0.5) == bool(y)
     assert right / len(new) > 0.95
+
+
+def test_redact_leaves_clashing_columns_alone(spark):
+    names = ["doc_id", "text", "source", "__m", "__c", "__at", "__between", "__text", "__path", "__assign", "own1"]
+    row = (1, 'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"', "s", *"abcdefgh")
+    df = spark.createDataFrame([row], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = ss.redact(df, F.col("source"))
+    assert got.columns == names and tuple(got.head()) == (1, 'token = "<SECRET>"', *row[2:])
