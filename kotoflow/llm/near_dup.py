@@ -60,7 +60,7 @@ BLOCK_COPIES = 8
 #: A similar pair agrees in as many coordinates as a pair at the threshold does, less so many deviations.
 DEVIATIONS = 4.0
 #: Candidate rows (three numbers each) that may be broadcast to the scan that fetches their texts.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 #: Shingles of one block of a cluster that is confirmed in blocks (8 bytes each, two blocks in a task).
 BLOCK_SHINGLES = 2_000_000
 
