@@ -72,14 +72,25 @@ def _merged(a: Entry, b: Entry) -> Entry:
     return Entry(a.word + b.word, a.phonemes, token=replace(x, string=x.string + y.string, orig=orig, read=x.read + y.read, pron=x.pron + y.pron, mora_size=x.mora_size + y.mora_size))
 
 
-def _consumed(word: str, surfaces: list[str]) -> int:
-    """How many morphemes an entry that differs from its text stands for: as many as it has characters that are iteration marks, or one; a run of digits goes whole."""
-    if surfaces and all("０" <= c <= "９" for c in surfaces[0]):
-        n = 0
-        while n < len(surfaces) and all("０" <= c <= "９" for c in surfaces[n]):
-            n += 1
-        return n
-    return 1
+def _consumed(word: str, morphs: list[Morph], more: int) -> int:
+    """How many of the coming morphemes (the first is kept) an entry that differs from its text stands for.
+
+    A reading resolved from an iteration mark stands for the mark, and for the next
+    word too where the entry ends with it (``々`` and ``活`` in 生活).  Any other
+    entry was made from digits: if there are no more morphemes than the ``more``
+    entries after this one need, it was inserted and stands for none; else for one,
+    and for the digits after that as long as enough is left.
+    """
+    if any(c in kana.ODORIJI for c in morphs[0].surface):
+        ahead = morphs[1] if len(morphs) > 1 else None
+        return 2 if ahead is not None and not ahead.is_ignored and word.endswith(ahead.surface) else 1
+    spare = sum(not m.is_ignored for m in morphs) - more
+    if spare <= 0:
+        return 0
+    n = 1
+    while n < min(spare, len(morphs)) and len(morphs[n].surface) == 1 and "０" <= morphs[n].surface <= "９":
+        n += 1
+    return n
 
 
 def mapping(entries: list[Entry], morphs: list[Morph], detailed: bool = False) -> list[Entry]:
@@ -121,12 +132,7 @@ def mapping(entries: list[Entry], morphs: list[Morph], detailed: bool = False) -
             out += inner
         else:
             finish(e, False)
-            more = entries[n + 1] if n + 1 < len(entries) else None
-            number = bool(m.surface) and all("０" <= c <= "９" for c in m.surface)
-            # the words of one number stand for its digits together
-            if number and more is not None and more.token is not None and e.token is not None and more.token.pos_group1 == "数" == e.token.pos_group1 and more.word != m.surface:
-                continue
-            k += _consumed(e.word, [x.surface for x in morphs[k:]])
+            k += _consumed(e.word, morphs[k:], len(entries) - n - 1)
     out += [ignored(m) for m in morphs[k:] if m.is_ignored]
     return out
 

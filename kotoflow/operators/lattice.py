@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from kotoflow.sources.lexicon import CATEGORIES, UNKNOWN, Lexicon, category
+from kotoflow.sources.lexicon import Lexicon
 
 
 @dataclass(slots=True)
@@ -15,41 +15,48 @@ class Morph:
     right_id: int = 0
     cost: int = 0
     is_unknown: bool = False
+    pos_id: int = 0
 
     @property
     def is_ignored(self) -> bool:
         return "記号,空白" in self.feature
 
 
-def _run(kinds: list[str], at: int) -> int:
-    """End of the run of one category that starts here."""
+#: Longest run of characters that is grouped into one unknown word.
+LONGEST_RUN = 24
+
+
+def _run(kinds: list[tuple[str, ...]], at: int) -> int:
+    """End of the run of characters that share a category with the one before them."""
     end = at + 1
-    while end < len(kinds) and kinds[end] == kinds[at]:
+    while end < len(kinds) and (kinds[end] is kinds[end - 1] or not set(kinds[end]).isdisjoint(kinds[end - 1])):
         end += 1
     return end
 
 
-def candidates(text: str, at: int, kinds: list[str], lexicon: Lexicon) -> list[Morph]:
+def candidates(text: str, at: int, kinds: list[tuple[str, ...]], lexicon: Lexicon) -> list[Morph]:
     """Words that may start here: those of the lexicon, and unknown ones as the category says."""
     out: list[Morph] = []
     for end in range(at + 1, min(len(text), at + lexicon.longest) + 1):
         piece = text[at:end]
         if piece in lexicon.words:
-            out += [Morph(piece, feature, left, right, cost) for left, right, cost, feature in lexicon.words[piece]]
+            out += [Morph(piece, feature, left, right, cost, False, pos) for left, right, cost, feature, pos in lexicon.words[piece]]
         elif piece not in lexicon.prefixes:
             break
-    kind = kinds[at]
-    invoke, group, length = CATEGORIES[kind]
+    rules = lexicon.rules
+    kind = kinds[at][0]
+    invoke, group, length = rules.categories[kind]
     if invoke or not out:
-        ends = {min(at + k, _run(kinds, at)) for k in range(1, length + 1)}
-        if group:
-            ends.add(_run(kinds, at))
-        cost, feature = UNKNOWN[kind]
-        out += [Morph(text[at:end], feature, 0, 0, cost, True) for end in sorted(ends or {at + 1})]
+        run = _run(kinds, at)
+        ends = {min(at + k, run) for k in range(1, length + 1)}
+        if group and (run - at <= LONGEST_RUN or lexicon.matrix is None):
+            ends.add(run)
+        for end in sorted(ends or {at + 1}):
+            out += [Morph(text[at:end], feature, left, right, cost, True, pos) for left, right, cost, feature, pos in rules.templates[kind]]
     return out
 
 
-def _segment_without_connections(text: str, kinds: list[str], lexicon: Lexicon) -> list[Morph]:
+def _segment_without_connections(text: str, kinds: list[tuple[str, ...]], lexicon: Lexicon) -> list[Morph]:
     """One state per place is enough when words do not see each other."""
     n = len(text)
     cost: list[int | None] = [0] + [None] * n
@@ -72,7 +79,7 @@ def _segment_without_connections(text: str, kinds: list[str], lexicon: Lexicon)
 
 def segment(text: str, lexicon: Lexicon) -> list[Morph]:
     """The cheapest path; ties go to the word found first."""
-    kinds = [category(c) for c in text]
+    kinds = [lexicon.rules.kinds(c) for c in text]
     n = len(text)
     if lexicon.matrix is None:
         return _segment_without_connections(text, kinds, lexicon)

@@ -118,7 +118,7 @@ class Engine:
         return [_row(TOKEN, t) for t in self.tokens(self.morphs(text))]
 
     def mecab(self, text):
-        return [{"surface": m.surface, "feature": f"{m.surface},{m.feature}", "left_id": m.left_id, "right_id": m.right_id, "pos_id": 0, "word_cost": m.cost, "is_unknown": m.is_unknown, "is_ignored": m.is_ignored} for m in self.morphs(text)]
+        return [{"surface": m.surface, "feature": f"{m.surface},{m.feature}", "left_id": m.left_id, "right_id": m.right_id, "pos_id": m.pos_id, "word_cost": m.cost, "is_unknown": m.is_unknown, "is_ignored": m.is_ignored} for m in self.morphs(text)]
 
     def phonemes(self, text):
         return alignment.flat_phonemes(self.tokens(self.morphs(text)))
@@ -224,10 +224,10 @@ class G2P:
         return kana_words(self.njd(c))
 
     def phonemes_per_word(self, c) -> Column:
-        return F.transform(self.mapping(c), lambda x: x["phonemes"])
+        return F.transform(self.pairs(c), lambda x: x["phonemes"])
 
     def phonemes_detailed(self, c) -> Column:
-        return F.flatten(self.phonemes_per_word(c))
+        return F.flatten(F.transform(self.mapping(c), lambda x: x["phonemes"]))
 
     def register(self, spark, prefix: str = "g2p") -> None:
         """SQL names: g2p, g2p_mapping, g2p_mapping_detailed, g2p_pairs, g2p_njd, g2p_fullcontext."""

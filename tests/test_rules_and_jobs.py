@@ -105,7 +105,7 @@ def test_lattice_is_cheapest():
     lexicon = lex.Lexicon()
     for s, c in [("あ", 3), ("あい", 4), ("い", 3), ("いう", 2), ("う", 3), ("あいう", 9)]:
         lexicon.add([s, "0", "0", str(c * 1000), *["名詞"] * 11])
-    kinds = ["HIRAGANA"] * 6
+    kinds = [("HIRAGANA",)] * 6
 
     def cheapest(text, at=0):
         if at == len(text):
@@ -113,7 +113,7 @@ def test_lattice_is_cheapest():
         return min(m.cost + cheapest(text, at + len(m.surface)) for m in candidates(text, at, kinds, lexicon))
 
     for text in ("あいう", "いうあい", "あいうえ", "うえあ"):
-        kinds = ["HIRAGANA"] * len(text)
+        kinds = [("HIRAGANA",)] * len(text)
         assert sum(m.cost for m in segment(text, lexicon)) == cheapest(text)
 
 
