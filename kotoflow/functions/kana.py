@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import unicodedata
 
 import pandas as pd
@@ -87,6 +89,12 @@ def split_mora(c: Column) -> Column:
 
 
 def py_split_mora(s: str) -> list[str]:
+    return list(py_moras(s))
+
+
+@lru_cache(maxsize=1 << 16)
+def py_moras(s: str) -> tuple[str, ...]:
+    """Morae of a string, kept for strings seen before."""
     out: list[str] = []
     open_ = False
     for c in s:
@@ -96,7 +104,7 @@ def py_split_mora(s: str) -> list[str]:
         else:
             out.append(c)
             open_ = True
-    return out
+    return tuple(out)
 
 
 def to_voiced(c: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 from kotoflow.functions import kana
 from kotoflow.operators.lattice import Morph
@@ -41,25 +42,40 @@ class Token:
 
 
 def moras(pron: str) -> int:
-    return len(kana.py_split_mora(pron.replace("’", "")))
+    return len(kana.py_moras(pron.replace("’", "")))
 
 
-def token_of(m: Morph, at: int) -> Token:
-    f = m.feature.split(",")
+@lru_cache(maxsize=1 << 16)
+def _fields(surface: str, feature: str) -> tuple:
+    f = feature.split(",")
     f += ["*"] * (11 - len(f))
     acc, _, size = f[9].partition("/")
     number = lambda x: int(x) if re.fullmatch(r"-?[0-9]+", x) else 0
-    return Token(m.surface, *f[:6], f[6] if f[6] != "*" else m.surface, f[7], f[8], number(acc), number(size), f[10] or "*", -1, at)
+    return (surface, *f[:6], f[6] if f[6] != "*" else surface, f[7], f[8], number(acc), number(size), f[10] or "*", -1)
+
+
+def token_of(m: Morph, at: int) -> Token:
+    return Token(*_fields(m.surface, m.feature), at)
+
+
+_KATA = re.compile("[ァ-ヺー]+").fullmatch
+
+
+@lru_cache(maxsize=1 << 16)
+def _kata(string: str) -> tuple[str, bool]:
+    """A string as katakana, and whether that can be read."""
+    k = kana.py_hira_to_kata(string)
+    return k, bool(_KATA(k))
 
 
 def set_pronunciation(tokens: list[Token]) -> None:
     """Readings for tokens without one; what cannot be read becomes a pause."""
     for i, t in enumerate(tokens):
-        symbol = t.pos == "記号" and (t.pron in ("*", t.string) and not kana.py_hira_to_kata(t.string).strip("ァ-ヺー") == "")
         if t.mora_size == 0 or t.pron == "*":
-            k = kana.py_hira_to_kata(t.string)
+            k, readable = _kata(t.string)
+            symbol = t.pos == "記号" and (t.pron in ("*", t.string) and not k.strip("ァ-ヺー") == "")
             if t.pron in ("*", "") or symbol:
-                if re.fullmatch("[ァ-ヺー]+", k):
+                if readable:
                     t.read = t.pron = k
                     t.mora_size = moras(k)
                     if t.pos == "*" or t.pos_group1 == "*":
@@ -261,20 +277,24 @@ _VOICELESS = frozenset("カキクケコサシスセソタチツテトハヒフ
 
 def set_unvoiced_vowel(tokens: list[Token]) -> None:
     """i and u between voiceless consonants lose their voice: not twice in a row, not on the accent nucleus, not in fillers."""
-    flat = []
+    flat, split = [], [kana.py_moras(t.pron) for t in tokens]
     phrase_at, head = 0, 0
     for i, t in enumerate(tokens):
         if i == 0 or t.chain_flag != 1:
             phrase_at, head = 0, t.acc
-        for k, m in enumerate(kana.py_split_mora(t.pron)):
-            if m == "’":
-                continue
-            phrase_at += 1
-            flat.append((i, k, m, phrase_at == head))
+        for k, m in enumerate(split[i]):
+            if m != "’":
+                phrase_at += 1
+                flat.append((i, k, m, phrase_at == head))
     marked: dict[int, set[int]] = {}
     last = -2
     for n, (i, k, m, nucleus) in enumerate(flat):
-        t, parts = tokens[i], kana.py_split_mora(tokens[i].pron)
+        if m not in _HIGH:
+            parts = split[i]
+            if k + 1 < len(parts) and parts[k + 1] == "’":
+                last = n
+            continue
+        t, parts = tokens[i], split[i]
         if k + 1 < len(parts) and parts[k + 1] == "’":
             last = n
             continue
@@ -287,7 +307,7 @@ def set_unvoiced_vowel(tokens: list[Token]) -> None:
         marked.setdefault(i, set()).add(k)
         last = n
     for i, places in marked.items():
-        tokens[i].pron = "".join(m + ("’" if k in places else "") for k, m in enumerate(kana.py_split_mora(tokens[i].pron)))
+        tokens[i].pron = "".join(m + ("’" if k in places else "") for k, m in enumerate(split[i]))
 
 
 def analyze(morphs: Sequence[Morph], places: Sequence[int] | None = None) -> list[Token]:

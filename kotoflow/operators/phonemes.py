@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kotoflow.functions.kana import SMALL_KANA, py_split_mora
+from kotoflow.functions.kana import SMALL_KANA, py_moras
 
 # Phoneme symbols of the Japanese front ends (consonant of each kana row, small-kana combinations).
 _ROWS = {
@@ -47,8 +49,13 @@ def mora_phonemes(mora: Column) -> Column:
 
 def py_phonemes(pron: str) -> list[str]:
     """Phonemes of a pronunciation: ー lengthens the vowel before it, ’ devoices the vowel before it, unknown characters are silent."""
+    return list(_phonemes(pron))
+
+
+@lru_cache(maxsize=1 << 16)
+def _phonemes(pron: str) -> tuple[str, ...]:
     out: list[str] = []
-    for m in py_split_mora(pron):
+    for m in py_moras(pron):
         if m == "ー":
             if out and out[-1].lower() in "aiueo":
                 out.append(out[-1].lower())
@@ -59,4 +66,4 @@ def py_phonemes(pron: str) -> list[str]:
             out += MORA_PHONEMES[m]
         elif m[0] in MORA_PHONEMES and m[1:] in SMALL_KANA:
             out += MORA_PHONEMES[m[0]] + MORA_PHONEMES.get(m[1:], [])
-    return out
+    return tuple(out)
