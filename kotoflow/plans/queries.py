@@ -16,6 +16,7 @@ from kotoflow.functions import formats, kana
 from kotoflow.operators import evaluation as ev
 from kotoflow.operators import phonemes as ph
 from kotoflow.operators import token_rules as tr
+from kotoflow.plans import more_queries
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 AS_HIRAGANA = "あいうえおかがきぎしじすたちつてなはばゃゅょらんっゝ"
@@ -130,14 +131,25 @@ def vowel_row(spark, d):
 def phoneme_counts(spark, d):
     """Phoneme count and commonest phoneme of each document's kana form."""
     m = docs(spark, d).select("doc_id", F.explode(kana.split_mora(F.translate(F.lower("text"), LATIN, AS_KATAKANA))).alias("mora"))
-    p = m.select("doc_id", F.explode(ph.mora_phonemes(F.col("mora"))).alias("phoneme")).groupBy("doc_id", "phoneme").agg(F.count("*").alias("n"))
+    # morae are counted where they are read; the table has a few hundred rows
+    m = m.groupBy("doc_id", "mora").agg(F.count("*").alias("n"))
+    table = spark.createDataFrame(sorted(ph.MORA_PHONEMES.items()), "mora string, phonemes array<string>")
+    p = m.join(F.broadcast(table), "mora").select("doc_id", "n", F.explode("phonemes").alias("phoneme")).groupBy("doc_id", "phoneme").agg(F.sum("n").alias("n"))
     return p.groupBy("doc_id").agg(F.sum("n").alias("phonemes"), F.min_by("phoneme", F.struct(-F.col("n"), F.col("phoneme"))).alias("commonest"))
 
 
+def nested_tokens(spark, d):
+    """One row per document: the tokens that rewrites of readings look at, in order."""
+    s = lambda w: F.translate(F.lower(w), LATIN, AS_KATAKANA)
+    kinds = F.array(*map(F.lit, ("フィラー", "名詞", "動詞", "助動詞", "記号")))
+    token = lambda w: F.struct(s(w).alias("string"), F.get(kinds, F.length(w) % 5).alias("pos"), F.when(F.length(w) % 7 == 3, "れる").otherwise(s(w)).alias("orig"), s(w).alias("read"), F.translate(s(w), "ウイ", "ーー").alias("pron"))
+    return docs(spark, d).where("text IS NOT NULL").select("doc_id", F.transform(F.split("text", " ", -1), token).alias("t"))
+
+
 def revert_pron(spark, d):
-    t = tokens(spark, d)
-    p = tr.reverted_pron(t, long_vowels=True, yotsugana=True)
-    return t.withColumn("reverted", F.when(p != F.col("pron"), 1).otherwise(0)).groupBy("doc_id").agg(F.sum("reverted").alias("reverted"), F.md5(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pos", p.alias("p")))), lambda x: x["p"])).cast("binary")).alias("md5"))
+    t = nested_tokens(spark, d).withColumn("p", F.transform("t", lambda x: tr.reverted_pron(x, long_vowels=True, yotsugana=True)))
+    changed = F.size(F.filter(F.zip_with("t", "p", lambda x, p: x["pron"] != p), lambda x: x)).cast("long")
+    return t.select("doc_id", changed.alias("reverted"), F.md5(F.array_join("p", " ").cast("binary")).alias("md5"))
 
 
 def filler_accent(spark, d):
@@ -154,10 +166,7 @@ def accent_chain(spark, d):
 
 
 def kana_reading(spark, d):
-    t = tokens(spark, d)
-    token = F.struct("pos", F.struct(F.col("string"), F.col("pos1").alias("pos"), F.col("pron")).alias("t"))
-    nested = t.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(token)), lambda x: x["t"]).alias("t"))
-    return nested.select("doc_id", F.md5(tr.kana(F.col("t")).cast("binary")).alias("kana_md5"))
+    return nested_tokens(spark, d).select("doc_id", F.md5(tr.kana(F.col("t")).cast("binary")).alias("kana_md5"))
 
 
 def long_vowel_merge(spark, d):
@@ -180,7 +189,7 @@ def kanji_reading_override(spark, d):
 
 def token_context(spark, d):
     t = docs(spark, d).select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("pos", "word"))
-    c = ev.word_context(t).where("length(word) >= 14")
+    c = ev.word_context(t)
     return c.groupBy("prev_word", "next_word").agg(F.count("*").alias("n"))
 
 
@@ -201,9 +210,10 @@ def lexicon_coverage(spark, d):
 
 
 def dedup_then_tokenize(spark, d):
-    t = docs(spark, d).select("doc_id", "text")
-    once = t.select("text").distinct().withColumn("tokens", F.size(F.split("text", " ", -1)))
-    return t.join(once, "text").select("doc_id", F.col("tokens").cast("long").alias("tokens"))
+    """Word count of every document, counted once for each different text; texts meet by digest."""
+    t = docs(spark, d).select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("key"))
+    once = t.groupBy("key").agg(F.first(F.size(F.split("text", " ", -1))).cast("long").alias("tokens"))
+    return t.select("doc_id", "key").join(once.where("key IS NOT NULL"), "key", "left").select("doc_id", "tokens")
 
 
 def cli_formats(spark, d):
@@ -281,7 +291,7 @@ WITH {_TOKENS_SQL}, t AS (SELECT doc_id, pos, length(string) AS n FROM token)
 SELECT doc_id, count(*) FILTER (WHERE n % 6 = 2 AND pos % 2 = 0) AS overridden, count(*) AS tokens FROM t GROUP BY doc_id""",
     "token_context": """
 WITH w AS (SELECT doc_id, k, w[k] AS word, w FROM (SELECT doc_id, string_split(text, ' ') AS w, unnest(generate_series(1, len(string_split(text, ' ')))) AS k FROM documents))
-SELECT CASE WHEN k = 1 THEN 'BOS' ELSE w[k - 1] END AS prev_word, CASE WHEN k = len(w) THEN 'EOS' ELSE w[k + 1] END AS next_word, count(*) AS n FROM w WHERE length(word) >= 14 GROUP BY ALL""",
+SELECT CASE WHEN k = 1 THEN 'BOS' ELSE w[k - 1] END AS prev_word, CASE WHEN k = len(w) THEN 'EOS' ELSE w[k + 1] END AS next_word, count(*) AS n FROM w GROUP BY ALL""",
     "edit_rate": """
 WITH x AS (SELECT levenshtein(a.c_name, b.c_name) AS e, length(a.c_name) AS n FROM customer a JOIN customer b ON a.c_custkey = b.c_custkey + 1)
 SELECT count(*) AS sentences, CAST(sum(e) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS tokens, count(*) FILTER (WHERE e > 0) AS with_errors,
@@ -346,3 +356,5 @@ def odoriji(spark, d):
 
 
 QUERIES |= {f.__name__: f for f in (g2p, g2p_mapping, g2p_mapping_detailed, g2p_kana, fullcontext, odoriji)}
+QUERIES |= more_queries.QUERIES
+ORACLE_SQL |= more_queries.ORACLE_SQL
