@@ -1,5 +1,6 @@
 import math
 import random
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -122,3 +123,19 @@ def test_gate_loses_nothing():
         if abs(best - licences.THRESHOLD) > 1e-9:
             assert (got is not None) == (best >= licences.THRESHOLD), line
             assert got is None or got[0] == pytest.approx(best)
+
+
+def wrapped(text, width, mark):
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def test_wrapped_headers_and_whole_files(spark):
+    whole = {n: t for n, t in licences.TEMPLATES if len(t) > 600}
+    header = next(t for n, t in licences.TEMPLATES if n == "GPL-2.0-or-later")
+    rows = [(1, "int x;\n\n" + wrapped(header + ".", 60, " * ") + "\n *\n * You should have received a copy.\n\n" + "call me later\n" * 40, "src/a.c")]
+    rows += [(10 + i, f"Copyright (c) 2020 Some Body\n\n{wrapped(t, 76, '')}\n", f"lib{i}/terms.txt") for i, t in enumerate(whole.values())]
+    rows += [(30 + i, "no notice", f"lib{i}/deep/er/x.py") for i in range(len(whole))]
+    got = {r["doc_id"]: (r["licence"], r["found_by"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string, path string"), F.col("path")).collect()}
+    assert got[1] == ("GPL-2.0-or-later", "own")
+    for i, name in enumerate(whole):
+        assert got[10 + i] == (name, "own") and got[30 + i] == (name, "inherited")
