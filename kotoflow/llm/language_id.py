@@ -22,6 +22,8 @@ BUCKETS = 1 << 13
 ORDERS = 3
 #: Labelled texts per language that the models are fitted on, about (drawn by a hash of the id).
 SAMPLE_PER_LANGUAGE = 400
+#: Languages that are learned, at most: bounds what the driver holds and the pairs of languages.
+MAX_LANGUAGES = 128
 UNKNOWN = "und"
 #: A text is certain from this share of the margins that nearly all labelled sample texts reach (all but FLOOR_QUANTILE).
 FLOOR_SHARE, FLOOR_QUANTILE = 0.3, 0.01
@@ -178,11 +180,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Fit on about ``per_language`` labelled rows of each language, none held out.
 
     Rows without text, letters or label teach nothing; no labelled rows at all
-    give a model that answers ``und``.
+    give a model that answers ``und``.  Of more than MAX_LANGUAGES labels the
+    commonest are learned.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    # at most MAX_LANGUAGES rows come to the driver, whatever the label column holds
+    common = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES)
+    counts = {r["lang"]: r["count"] for r in common.collect()}
     if not counts:
         return Model()
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, per_language / n))])

@@ -50,3 +50,10 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [tuple(r)[3:] for r in li.identify(df, li.fit(df)).collect()] == [("und", 0.0)]
     assert li.identify(df.limit(0), li.fit(df.limit(0))).count() == 0
+
+
+def test_dirty_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(li, "MAX_LANGUAGES", 2)
+    rows = [(i, "the cat sat on the mat" if i % 2 else "le chat est sur la table", "en" if i % 2 else "fr") for i in range(60)] + [(100 + i, "x y z", f"dirt{i}") for i in range(30)]
+    model = li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(x for own in model.languages.values() for x in own) == ["en", "fr"]
