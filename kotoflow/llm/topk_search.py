@@ -35,7 +35,7 @@ QUERY_BLOCK = 8192
 BUCKET = 64
 #: Children with fewer points stay in their parent's bucket.
 MIN_CHILD = 8
-#: Pivots that blocks are dealt by, at most.
+#: Pivots that blocks are dealt by: one for each block that the vectors would fill, at most so many.
 PIVOTS = 512
 #: Children's radii are this share of their parent's.
 SHRINK = 0.6
@@ -190,21 +190,23 @@ def quantized(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.where(v.isNotNull() & F.col(id_col).isNotNull() & (F.size(v) > 0)).where(~bad).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
 
 
-def _pivots(rows: DataFrame) -> DataFrame:
-    """``dim, pivot, at``: up to PIVOTS vectors of each length, drawn by a hash of the id."""
+def _pivots(rows: DataFrame, size: int) -> list[tuple[int, int, list[int]]]:
+    """(dim, pivot, vector): as many vectors of each length as blocks of ``size`` hold all, PIVOTS at most, drawn by a hash of the id."""
+    n = max(1, min(PIVOTS, -(-rows.count() // size)))
     drawn = rows.select(F.size("v").alias("dim"), "v", F.xxhash64("vec_id").alias("h"))
-    first = F.min_by(F.struct("v"), "h")  # one for each of PIVOTS hash classes: a partial aggregation
-    return drawn.groupBy("dim", F.pmod("h", F.lit(PIVOTS)).alias("pivot")).agg(first["v"].alias("at"))
+    first = F.min_by(F.struct("v"), "h")  # one for each of n hash classes: a partial aggregation
+    found = drawn.groupBy("dim", F.pmod("h", F.lit(n)).alias("pivot")).agg(first["v"].alias("at"))
+    return [(r["dim"], r["pivot"], list(r["at"])) for r in found.collect()]
 
 
-def _blocks(rows: DataFrame, pivots: list[tuple[int, int, list[int]]], tables: Tables, name: str, size: int) -> DataFrame:
+def _blocks(rows: DataFrame, tables: Tables, name: str, size: int) -> DataFrame:
     """``dim, block, part, n, centre, norm, radius, data``: cover tree, ids and vectors of each block.
 
     Vectors go to their nearest pivot; pivots with more than ``size`` vectors are
     split into parts by a hash of id and vector.
     """
     by_dim: dict[int, tuple[list, list]] = {}
-    for dim, pivot, at in pivots:
+    for dim, pivot, at in _pivots(rows, size):
         by_dim.setdefault(dim, ([], []))[0].append(pivot)
         by_dim[dim][1].append(at)
     known = {d: (np.array(p), np.array(a, dtype=np.float64)) for d, (p, a) in by_dim.items()}
@@ -269,9 +271,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     with Tables(vectors.sparkSession) as tables:
         rows = quantized(vectors, id_col, vec_col)
         asked = quantized(vectors.where(F.coalesce(is_query, F.lit(False))), id_col, vec_col)
-        # at most PIVOTS vectors of each length
-        pivots = [(r["dim"], r["pivot"], list(r["at"])) for r in _pivots(rows).collect()]
-        refs, queries = _blocks(rows, pivots, tables, "topk-candidates", block), _blocks(asked, pivots, tables, "topk-queries", query_block)
+        refs, queries = _blocks(rows, tables, "topk-candidates", block), _blocks(asked, tables, "topk-queries", query_block)
         roots = ["dim", "block", "part", "centre", "norm", "radius"]
         q, r = queries.select(roots).alias("q"), refs.select(roots).alias("r")
         # one row for each query block: a few numbers for thousands of queries
