@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Container
 from dataclasses import dataclass, field, replace
 
 from kotoflow.functions import kana
@@ -52,7 +53,7 @@ def spoken(tokens: list[Token]) -> list[list[str]]:
     return out
 
 
-def pairs(tokens: list[Token], non_pause: frozenset[str] = kana.NON_PAUSE_SYMBOLS) -> list[Entry]:
+def pairs(tokens: list[Token], non_pause: Container[str] = kana.NON_PAUSE_SYMBOLS) -> list[Entry]:
     """Tokens with phonemes or pauses, long-vowel tokens merged into the word before."""
     out: list[Entry] = []
     for k, (t, own) in enumerate(zip(tokens, spoken(tokens), strict=True)):

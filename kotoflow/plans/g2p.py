@@ -17,7 +17,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from kotoflow.functions import kana
 from kotoflow.operators import alignment, labels, lattice, nani, njd, postprocess
@@ -47,6 +47,9 @@ DETAIL = _struct(
 )
 
 
+RESULTS = {"mecab": ArrayType(MORPH), "njd": ArrayType(TOKEN), "phonemes": ArrayType(_S), "fullcontext": ArrayType(_S), "pairs": ArrayType(PAIR), "mapping": ArrayType(MAP), "mapping_detailed": ArrayType(DETAIL)}
+
+
 class AnalysisError(ValueError):
     """A text that cannot be analyzed."""
 
@@ -58,6 +61,8 @@ class Engine:
         self.is_nan = nani.model(nani_model)
         self.options, self.lexicon = options, lex.load(paths, key)
         self.second = lex.load(second, key) if second else None
+        #: the text analyzed last, its morphemes, and its tokens by order of the rewrites
+        self._last: tuple[str | None, list, dict[bool, list[Token]]] = None, [], {}
 
     def guard(self, text: str) -> str:
         if "\0" in text:
@@ -112,28 +117,36 @@ class Engine:
             at += len(m.surface)
         return out
 
+    def analyzed(self, text: str, revert_last: bool = False) -> tuple[list[lattice.Morph], list[Token]]:
+        """Morphemes and tokens; several results of one text are made from one analysis."""
+        if self._last[0] != text:
+            self._last = text, self.morphs(text), {}
+        _, morphs, tokens = self._last
+        if revert_last not in tokens:
+            tokens[revert_last] = self.tokens(morphs, revert_last)
+        return morphs, tokens[revert_last]
+
     # results -----------------------------------------------------------------
 
     def njd(self, text):
-        return [_row(TOKEN, t) for t in self.tokens(self.morphs(text))]
+        return [_row(TOKEN, t) for t in self.analyzed(text)[1]]
 
     def mecab(self, text):
-        return [{"surface": m.surface, "feature": f"{m.surface},{m.feature}", "left_id": m.left_id, "right_id": m.right_id, "pos_id": m.pos_id, "word_cost": m.cost, "is_unknown": m.is_unknown, "is_ignored": m.is_ignored} for m in self.morphs(text)]
+        return [{"surface": m.surface, "feature": f"{m.surface},{m.feature}", "left_id": m.left_id, "right_id": m.right_id, "pos_id": m.pos_id, "word_cost": m.cost, "is_unknown": m.is_unknown, "is_ignored": m.is_ignored} for m in self.analyzed(text)[0]]
 
     def phonemes(self, text):
-        return alignment.flat_phonemes(self.tokens(self.morphs(text)))
+        return alignment.flat_phonemes(self.analyzed(text)[1])
 
     def fullcontext(self, text):
-        return labels.make_labels(self.tokens(self.morphs(text)))
+        return labels.make_labels(self.analyzed(text)[1])
 
     def pairs(self, text):
-        return [{"word": e.word, "phonemes": e.phonemes or []} for e in alignment.pairs(self.tokens(self.morphs(text)), self.options.non_pause_symbols)]
+        return [{"word": e.word, "phonemes": e.phonemes or []} for e in alignment.pairs(self.analyzed(text)[1], self.options.silent)]
 
     def _entries(self, text, detailed):
-        m = self.morphs(text)
         # the flat mapping reverts readings after the rewrites, every other result before them
-        t = self.tokens(m, revert_last=not detailed)
-        return alignment.mapping(alignment.pairs(t, self.options.non_pause_symbols), m, detailed)
+        m, t = self.analyzed(text, revert_last=not detailed)
+        return alignment.mapping(alignment.pairs(t, self.options.silent), m, detailed)
 
     def mapping(self, text):
         return [{"word": e.word, "phonemes": e.phonemes, "is_unknown": e.is_unknown, "is_ignored": e.is_ignored} for e in self._entries(text, False)]
@@ -150,6 +163,10 @@ class Engine:
         return out
 
 
+    def together(self, text, names: tuple[str, ...]):
+        return {name: getattr(self, name)(text) for name in names}
+
+
 def _row(schema: StructType, t: Token) -> dict:
     return {k: getattr(t, k) for k in schema.names}
 
@@ -166,7 +183,7 @@ class G2P:
         self.options, self.lexicons, self.second, self.nani_model = options, tuple(lexicons), second, nani_model
         self.key = lex.version(self.lexicons + tuple(second or ()))
 
-    def _apply(self, c: Column | str, method: str, kind) -> Column:
+    def _apply(self, c: Column | str, method: str, kind, *more) -> Column:
         args = (self.options, self.lexicons, self.key, self.second, self.nani_model)
         options = self.options
 
@@ -183,15 +200,18 @@ class G2P:
                         if len(seen) > 1000:
                             seen.clear()
                         try:
-                            seen[text] = getattr(e, method)(text)
+                            seen[text] = getattr(e, method)(text, *more)
                         except AnalysisError:
                             if options.mode == "FAILFAST":
                                 raise
                             seen[text] = None
                     out.append(seen[text])
-                yield pd.Series(out, dtype=object)
+                if isinstance(kind, StructType):
+                    yield pd.DataFrame([dict.fromkeys(kind.names) if x is None else x for x in out], columns=kind.names, dtype=object)
+                else:
+                    yield pd.Series(out, dtype=object)
 
-        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame if isinstance(kind, StructType) else pd.Series]}
         return F.pandas_udf(run, kind)(F.col(c) if isinstance(c, str) else c)
 
     def mecab(self, c) -> Column:
@@ -215,6 +235,11 @@ class G2P:
     def mapping_detailed(self, c) -> Column:
         return self._apply(c, "mapping_detailed", ArrayType(DETAIL))
 
+    def together(self, c, *results: str) -> Column:
+        """A struct of several results (``mecab``, ``njd``, ``phonemes``, ``fullcontext``, ``pairs``, ``mapping``,
+        ``mapping_detailed``) from one analysis of each text; all fields are null where a text has no result."""
+        return self._apply(c, "together", StructType([StructField(name, RESULTS[name]) for name in results]), tuple(results))
+
     # native over the results above
 
     def kana(self, c) -> Column:

@@ -184,3 +184,19 @@ def test_compiled_lexicon_and_sent_files(spark, tmp_path):
 def test_default_categories():
     got = {c: lex.category(c) for c in "、。…―→①㌔“一万歳〇あア１Ａ　"}
     assert got == {"、": "SYMBOL", "。": "SYMBOL", "…": "SYMBOL", "―": "SYMBOL", "→": "SYMBOL", "①": "SYMBOL", "㌔": "SYMBOL", "“": "SYMBOL", "一": "KANJINUMERIC", "万": "KANJINUMERIC", "歳": "KANJI", "〇": "SYMBOL", "あ": "HIRAGANA", "ア": "KATAKANA", "１": "NUMERIC", "Ａ": "ALPHA", "　": "SPACE"}
+
+
+def test_results_together(spark):
+    df = spark.createDataFrame([(1, "学生々活7xyz大阪"), (2, None), (3, "a\0b"), (4, "")], "id int, text string")
+    g = G2P()
+    one = df.select("id", g.together("text", "phonemes", "mapping", "njd").alias("r")).select("id", "r.*").orderBy("id").collect()
+    apart = df.select("id", g.phonemes("text").alias("phonemes"), g.mapping("text").alias("mapping"), g.njd("text").alias("njd")).orderBy("id").collect()
+    assert one == apart and one[0]["phonemes"] and one[1]["njd"] is None
+
+
+def test_symbol_callback(spark):
+    assert mapped("あ、い。", is_non_pause=lambda s: True) == [("あ", ["a"]), ("、", []), ("い", ["i"]), ("。", [])]
+    assert mapped("「あ」", is_non_pause=lambda s: s != "「") == [("「", ["pau"]), ("あ", ["a"]), ("」", [])]
+    df = spark.createDataFrame([("あ、い",)], "text string")
+    got = df.select(G2P(Options(is_non_pause=lambda s: True)).mapping("text").alias("m")).head()["m"]
+    assert [list(x["phonemes"]) for x in got] == [["a"], [], ["i"]]

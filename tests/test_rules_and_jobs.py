@@ -157,3 +157,16 @@ def test_cli(spark, capsys):
     assert '"キョー"' in capsys.readouterr().out
     cli.main(["mapping", "「あ"])
     assert "[IGN] 「\t" in capsys.readouterr().out
+
+
+def test_command_line_reads_input_in_chunks(spark, monkeypatch, capsys, tmp_path):
+    from kotoflow import cli
+
+    monkeypatch.setattr(cli, "CHUNK_LINES", 2)
+    assert list(cli.chunks(["a\n", "b", "c\n"])) == [["a", "b"], ["c"]]
+    monkeypatch.setattr("sys.stdin", iter(["こんにちは\n", "復帰\n", "今日も\n"]))
+    assert cli.main(["g2p"]) == 0
+    assert capsys.readouterr().out.splitlines()[:2] == ["k o N n i ch i w a", "f u cl k i"]
+    monkeypatch.setattr("sys.stdin", iter(["こんにちは\n", "復帰\n", "今日も\n"]))
+    cli.main(["kana", "--output", str(tmp_path / "out")])
+    assert spark.read.text(str(tmp_path / "out")).count() == 3
