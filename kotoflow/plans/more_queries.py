@@ -13,6 +13,7 @@ from kotoflow.functions import formats, kana, unidic
 from kotoflow.operators import evaluation as ev
 from kotoflow.operators import njd
 from kotoflow.operators.njd import Token
+from kotoflow.session import spread
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 #: Letters as kanji, iteration marks, brackets and kana, so that every character class occurs.
@@ -20,7 +21,7 @@ AS_MIXED = "風々「観ゝヽ漢」アゞヾ（カ）上ッ々ン何ー【君
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang"))
 
 
 def _mixed(c):

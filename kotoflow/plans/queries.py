@@ -17,6 +17,7 @@ from kotoflow.operators import evaluation as ev
 from kotoflow.operators import phonemes as ph
 from kotoflow.operators import token_rules as tr
 from kotoflow.plans import more_queries
+from kotoflow.session import spread
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 AS_HIRAGANA = "あいうえおかがきぎしじすたちつてなはばゃゅょらんっゝ"
@@ -27,7 +28,7 @@ COMMON_WORDS = ("the", "of", "and", "que", "de", "der", "und", "la", "le", "en")
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
 
 
 def _hira(c):

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -31,3 +31,13 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(to))
         sc._kotoflow_shipped = True
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores if it is read in fewer tasks than there are cores.
+
+    A small file (or one row group, however large) is one task, which row-local work
+    then waits for; tables of more partitions than cores stay where they are.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * n) if df.rdd.getNumPartitions() < n else df
